@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import functions as F
+
+from griddoc.operators import packed
+from griddoc.session import table
+
+
+def p2_found(spark, d):
+    cells = (("synonyms", "metric_dictionary", False), ("dependencies", "product_family", False), ("applicable_scenarios", "product_master", True))
+    parts = [packed.unpack(table(spark, d, t), "row_ord", c, ids).select(F.lit(c).alias("field"), "row_ord", "pos", "val") for c, t, ids in cells]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES: dict = {f.__name__: f for f in (p2_found,)}
 SQL: dict = {}
