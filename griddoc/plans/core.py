@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from griddoc.operators import packed
+from griddoc.operators import packed, units
 from griddoc.session import table
 
 
@@ -14,5 +14,9 @@ def p2_found(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES: dict = {f.__name__: f for f in (p2_found,)}
+def p4_found(spark, d):
+    return units.standardise(table(spark, d, "product_parameter"), table(spark, d, "value_hit"), table(spark, d, "metric_dictionary"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p2_found, p4_found)}
 SQL: dict = {}
