@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from griddoc.llm import boilerplate, leakage, tokenize
+from griddoc.llm import boilerplate, leakage, tokenize, truncation
 from griddoc.session import table
 
 
@@ -37,7 +37,15 @@ def p9_found(spark, d):
     return leakage.leaks(table(spark, d, "eval_item"), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p8_ids, p8_decoded, p9_found)}
+def p10_found(spark, d):
+    return truncation.cut(table(spark, d, "documents"))
+
+
+def p10_share(spark, d):
+    return truncation.cut_share(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p8_ids, p8_decoded, p9_found, p10_found, p10_share)}
 SQL = {
     "p1_found": r"""
         with l as (
