@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from griddoc.llm import boilerplate, leakage, tokenize, truncation
+from griddoc.llm import boilerplate, canonical, leakage, tokenize, truncation
 from griddoc.session import table
 
 
@@ -25,6 +25,10 @@ def p1_rebuilt(spark, d):
     return boilerplate.rows_to_rebuild(rows, before, boilerplate.merge_counts(before, boilerplate.count_delta(rows.where(late))))
 
 
+def p7_found(spark, d):
+    return canonical.match(table(spark, d, "synonym_mapping"), table(spark, d, "unmapped_parameter"), table(spark, d, "metric_dictionary"))
+
+
 def p8_ids(spark, d):
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -45,7 +49,7 @@ def p10_share(spark, d):
     return truncation.cut_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p8_ids, p8_decoded, p9_found, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p7_found, p8_ids, p8_decoded, p9_found, p10_found, p10_share)}
 SQL = {
     "p1_found": r"""
         with l as (
