@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from griddoc.llm import boilerplate, canonical, leakage, mailtext, scanrepair, tokenize, truncation
+from griddoc.llm import boilerplate, canonical, entitymatch, leakage, mailtext, scanrepair, tokenize, truncation
 from griddoc.session import table
 
 
@@ -29,6 +29,14 @@ def p3_found(spark, d):
     return scanrepair.damaged(table(spark, d, "doc_segment"))
 
 
+def p5_found(spark, d):
+    return p5_matches(spark, d).select("cand_id", "product_id")
+
+
+def p5_matches(spark, d):
+    return entitymatch.match(table(spark, d, "product_master"), table(spark, d, "datasheet_product"))
+
+
 def p6_found(spark, d):
     return mailtext.written(table(spark, d, "doc_segment"))
 
@@ -57,7 +65,7 @@ def p10_share(spark, d):
     return truncation.cut_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p3_found, p6_found, p7_found, p8_ids, p8_decoded, p9_found, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p3_found, p5_found, p5_matches, p6_found, p7_found, p8_ids, p8_decoded, p9_found, p10_found, p10_share)}
 SQL = {
     "p1_found": r"""
         with l as (
