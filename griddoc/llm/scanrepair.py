@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -61,20 +62,24 @@ def folded(line: str) -> str:
 def is_page_number(line: str) -> bool:
     """A line of nothing but a page number, with or without a word for page, frame or total."""
     parts = re.findall(r"[^\s\-–—\[\]()/.,:]+", line)
+    if len(parts) > 4:
+        return False
     numbers = 0
     for p in parts:
         if _NUMBER.match(p) and (any(c.isdigit() for c in p) or len(p) <= 2 and p.lower() not in ("is", "so", "il", "si", "os", "b", "s")):
             numbers += 1
-        elif not any(_alike(p.lower(), w) for w in _PAGE_WORDS):
+        elif len(p) > 6 or not _is_page_word(p.lower()):
             return False
-    return 1 <= numbers <= 2 and len(parts) <= 4
+    return 1 <= numbers <= 2
 
 
-def _alike(a: str, b: str) -> bool:
-    if a == b:
+@lru_cache(20_000)
+def _is_page_word(word: str) -> bool:
+    """Whether the word is one of _PAGE_WORDS, or a longer one of them misread."""
+    if word in _PAGE_WORDS:
         return True
-    x, y = (re.sub("#", "", folded(s)) for s in (a, b))
-    return len(b) > 2 and (x == y or len(x) == len(y) and sum(c != d for c, d in zip(x, y)) <= 1)
+    x = folded(word).replace("#", "")
+    return any(x == y or len(x) == len(y) and sum(c != d for c, d in zip(x, y)) <= 1 for y in (folded(w).replace("#", "") for w in _PAGE_WORDS if len(w) > 2))
 
 
 def is_scanned(text: str, location: str | None, mail: bool) -> bool:
