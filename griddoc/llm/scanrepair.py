@@ -159,8 +159,8 @@ def page_places(text: str, common: set[str]) -> tuple[list, list, list]:
     """(edges, numbers, words) of a scanned page.
 
     edges: (line_no, key, unfilled) of lines that may be headers or footers; unfilled: the next word would have fitted, and no
-    sentence ends. numbers: lines that are page numbers. words: (line_no, form, other form) to be looked up, the other
-    form being the one with hyphen of a word parted at a line end.
+    sentence ends. numbers: lines that are page numbers. words: (line_no, form, other form, within a line) to be looked up, the
+    other form being the one with hyphen of a parted word.
     """
     lines = text.split("\n")
     filled = [k for k, x in enumerate(lines) if x.strip()]
@@ -188,7 +188,7 @@ def page_places(text: str, common: set[str]) -> tuple[list, list, list]:
             head, line_no = carried
             tail = found.pop(0).strip(AROUND)
             if tail and tail[0].isalpha():
-                words.append((line_no, head + tail, head + "-" + tail))
+                words.append((line_no, head + tail, head + "-" + tail, False))
             elif tail:
                 found.insert(0, tail)
             carried = None
@@ -196,12 +196,19 @@ def page_places(text: str, common: set[str]) -> tuple[list, list, list]:
             head = found.pop().rstrip(PARTED).lstrip(AROUND)
             if head and head[-1].isalnum():
                 carried = (head, k + 1)
-        for w in found:
-            w = w.strip(AROUND)
+        k0 = 0
+        while k0 < len(found):
+            w, k0 = found[k0].strip(AROUND), k0 + 1
+            # A line set anew keeps the sign within it.
+            if k0 < len(found) and len(w) > 1 and w[-1] in PARTED and w[-2].isalpha() and found[k0][0].isalpha():
+                head, tail = w.rstrip(PARTED), found[k0].strip(AROUND)
+                words.append((k + 1, head + tail, head + "-" + tail, True))
+                k0 += 1
+                continue
             if w not in common and any(c.isalpha() or c in "@!|$" for c in w):
-                words.append((k + 1, w, None))
+                words.append((k + 1, w, None, False))
                 if w[-1] == "!" and len(w) > 2:
-                    words[-1] = (k + 1, w[:-1], None) if w[:-1] in common else words[-1]
+                    words[-1] = (k + 1, w[:-1], None, False) if w[:-1] in common else words[-1]
     return edges, numbers, words
 
 
@@ -220,7 +227,7 @@ def _places(rows: DataFrame, common) -> DataFrame:
                 edges, numbers, words = page_places(t, known)
                 out += [(i, f, "edge", n, k, None, u) for n, k, u in edges]
                 out += [(i, f, "number", n, None, None, None) for n in numbers]
-                out += [(i, f, "word" if o is None else "parted", n, w, o, None) for n, w, o in words]
+                out += [(i, f, "word" if o is None else "inline" if inside else "parted", n, w, o, None) for n, w, o, inside in words]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
 
@@ -272,9 +279,10 @@ def damaged(rows: DataFrame) -> DataFrame:
     places = checkpointed(_places(rows, shared))
     lines = running_lines(places.where("kind = 'edge'")).unionByName(places.where("kind = 'number'").select("seg_id", "line_no"))
     lines = checkpointed(lines.distinct())
-    words = places.where("kind in ('word', 'parted')").join(lines, ["seg_id", "line_no"], "left_anti")
+    words = places.where("kind in ('word', 'parted', 'inline')").join(lines, ["seg_id", "line_no"], "left_anti")
     forms = checkpointed(words.groupBy("form", "other").agg(F.count(F.lit(1)).alias("n")))
-    # A parted word is the form that is more common; where neither is known, what either can be mended to; else the plain one.
+    # A parted word is the form that is more common; where neither is known, what either can be mended to; else the plain one,
+    # but within a line, where a dash may be meant, none.
     every = forms.select("form").unionByName(forms.where("other is not null").select(F.col("other").alias("form"))).distinct()
     mend = small(checkpointed(_resolved(every, counts)))
     c = counts.select("word", F.col("other").alias("k"))
@@ -286,6 +294,7 @@ def damaged(rows: DataFrame) -> DataFrame:
     )
     k1, k2 = F.coalesce("k1", F.lit(0)), F.coalesce("k2", F.lit(0))
     whole = F.when((k1 > 0) & (k1 >= k2) & F.col("r1").isNull(), F.col("form")).when((k2 > 0) & F.col("r2").isNull(), F.col("other")).otherwise(F.coalesce("r1", "r2", "form"))
-    answer = known.select("form", "other", F.when(F.col("other").isNull(), F.col("r1")).otherwise(whole).alias("repaired")).where("repaired is not null")
+    answer = known.select("form", "other", F.when(F.col("other").isNull(), F.col("r1")).otherwise(whole).alias("repaired"), ((k1 > 0) | (k2 > 0) | F.coalesce("r1", "r2").isNotNull()).alias("sure")).where("repaired is not null")
     fixed = words.alias("w").join(small(checkpointed(answer)).alias("a"), (F.col("w.form") == F.col("a.form")) & F.col("w.other").eqNullSafe(F.col("a.other")))
+    fixed = fixed.where("kind <> 'inline' or sure")
     return lines.select("seg_id", "line_no", F.lit("").alias("repaired")).unionByName(fixed.select("seg_id", "line_no", "repaired")).distinct()
