@@ -194,7 +194,7 @@ def doc_type(name: Column, text: Column) -> Column:
 
 def is_contents(text: Column) -> Column:
     """Whether a text is a table of contents: most lines, and six at least, are a title with a page number."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r  \x0b\x0c\x85]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"), lambda x: F.trim(x)), lambda x: x != "")
     hits = F.size(F.filter(lines, lambda x: x.rlike(TOC_LINE) | x.rlike(TOC_LEADER)))
     named = F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit("table of contents")) & (hits >= 3)
     return (F.size(lines) >= 6) & (named | ((hits >= 6) & (hits * 2 >= F.size(lines))))

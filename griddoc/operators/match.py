@@ -105,7 +105,7 @@ def scenario_confidence(hits: DataFrame, by: list[str], corroborated: Column | N
 
 def asset_backed(asset_type: Column, corpus: Column) -> Column:
     """Whether a phrase of two words or more of asset_type (split at slash and comma), or the word gis, stands in the corpus."""
-    phrases = F.filter(F.transform(F.split(F.lower(F.coalesce(asset_type, F.lit(""))), "[/,]"), F.trim), lambda p: F.size(F.split(p, r"\s+")) >= 2)
+    phrases = F.filter(F.transform(F.split(F.lower(F.coalesce(asset_type, F.lit(""))), "[/,]"), lambda p: F.trim(p)), lambda p: F.size(F.split(p, r"\s+")) >= 2)
     gis = F.array_contains(F.split(F.lower(F.coalesce(asset_type, F.lit(""))), r"\s+"), "gis") & F.contains(corpus, F.lit("gis"))
     return F.exists(phrases, lambda p: F.contains(corpus, p)) | gis
 
