@@ -22,9 +22,13 @@ LEAST_CONFIDENCE, PER_DOCUMENT = 0.30, 4
 VOCABULARY = 100_000
 
 
-def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term_ord, at): the first hit of each term (term_ord, term) in each segment, by the rule of find_term.
+HIT = "term_ord long, at int, line int, excluded boolean, snippet string"
 
+
+def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, term_ord, at, line, excluded, snippet): the first hit of each term (term_ord, term) in each segment, by the rule of find_term.
+
+    Line, snippet and whether a phrase excludes the hit are read off while the text is at hand, so it is never joined back.
     Null and empty texts and terms have no hit. More than VOCABULARY terms are refused: a vocabulary of that size is no
     controlled one, and should be joined by tokens.
     """
@@ -45,8 +49,8 @@ def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "tex
             machine.make_automaton()
         word = set("abcdefghijklmnopqrstuvwxyz0123456789")
         for b in batches if known else ():
-            ids, ords, ats = [], [], []
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out, place = [], []
+            for k, (s, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 seen: dict[str, int] = {}
                 for end, t in machine.iter(s):
                     start = end - len(t) + 1
@@ -54,14 +58,20 @@ def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "tex
                         continue
                     seen[t] = start
                 for t, at in seen.items():
-                    for o in known[t][1]:
-                        ids.append(i)
-                        ords.append(o)
-                        ats.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ords, pa.int64()), pa.array(ats, pa.int32())], [key, "term_ord", "at"])
-
-    wanted = segments.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).cast("long"), F.lower(F.col(text)))
-    return wanted.mapInArrow(run, f"{key} long, term_ord long, at int")
+                    near = text[max(0, at - X.BEHIND) : at + X.AHEAD].lower()
+                    cut = " ".join(text[max(0, at - X.AROUND) : at + X.AROUND].split())
+                    cut = ("..." if at > X.AROUND else "") + cut + ("..." if at + X.AROUND < len(text) else "")
+                    rest = (at, text.count("\n", 0, at) + 1, any(c in near for c in X.EXCLUSION_CUES), cut)
+                    out += [(o, *rest) for o in known[t][1]]
+                    place += [k] * len(known[t][1])
+            if out:
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+                taken = [c.take(pa.array(place)) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], [key, *carry, "term_ord", "at", "line", "excluded", "snippet"])
+
+    wanted = segments.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.lower(F.col(text)).alias("_low"), F.col(text).alias("_text"), F.col(key).cast("long").alias(key), *carry)
+    schema = ", ".join(f"{n} {t}" for n, t in wanted.dtypes[2:])
+    return wanted.mapInArrow(run, f"{schema}, {HIT}")
 
 
 def evidence(segments: DataFrame, terms: DataFrame) -> DataFrame:
@@ -73,15 +83,11 @@ def evidence(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """
     body = segments.where(~X.is_contents(F.col("text"))).select("seg_id", "file_name", "seg_ord", "text")
     t = terms.select("term_ord", "term", "scenario_id", "kind", "priority", X.is_ambiguous(F.col("term")).alias("ambiguous"))
-    hits = first_hits(body, terms, "seg_id").join(F.broadcast(t), "term_ord")
+    hits = first_hits(body, terms, "seg_id", carry=("file_name", "seg_ord")).join(F.broadcast(t), "term_ord")
     strong = F.count_if(~F.col("ambiguous")).over(W.partitionBy("seg_id", "scenario_id"))
-    known = hits.withColumn("strong", strong).where(~F.col("ambiguous") | (F.col("kind") == "synonym") | (F.col("strong") > 0))
+    known = hits.withColumn("strong", strong).where(~F.col("ambiguous") | (F.col("kind") == "synonym") | (F.col("strong") > 0)).where(~F.col("excluded"))
     confidence = F.when(F.col("kind") == "synonym", X.priority_confidence(F.col("priority"))).otherwise(X.keyword_confidence(F.col("term")))
-    placed = known.join(body, "seg_id").where(~X.excluded(F.col("text"), F.col("at")))
-    line = F.size(F.split(F.substring("text", F.lit(1), F.col("at")), "\n"))
-    return placed.select(
-        "scenario_id", "file_name", "seg_id", "seg_ord", "term_ord", "term", "at", line.alias("line"), X.snippet(F.col("text"), F.col("at")).alias("snippet"), confidence.cast("decimal(5,3)").alias("confidence")
-    )
+    return known.select("scenario_id", "file_name", "seg_id", "seg_ord", "term_ord", "term", "at", "line", "snippet", confidence.cast("decimal(5,3)").alias("confidence"))
 
 
 def best_evidence(hits: DataFrame, per_document: int = PER_DOCUMENT) -> DataFrame:
