@@ -19,6 +19,8 @@ EXCLUSION_CUES = [
 ]
 #: Characters before and after a hit in which such a phrase counts, and that a snippet shows on each side.
 BEHIND, AHEAD, AROUND = 160, 240, 230
+#: Characters on each side of a term in which its value may stand.
+NEAR = 60
 #: Keywords that count only beside a specific term.
 AMBIGUOUS = [
     "relay", "alarm", "alarm contacts", "sensor", "sensors", "monitor", "monitoring", "ethernet", "serial", "current",
@@ -53,6 +55,17 @@ SCOPES = [
 #: Confidence of a mapped term by its priority.
 PRIORITY = {"high": 0.85, "medium": 0.65, "low": 0.5}
 VOLTAGE = r"(?i)(\d{2,4})\s*kV"
+#: Gases as symbol, pattern of formula or name, name alone; those marked ambiguous need three others beside a bare formula.
+GASES = [
+    ("H2", r"\bh2\b|hydrogen", "hydrogen", False), ("CH4", r"\bch4\b|methane", "methane", False), ("C2H2", r"\bc2h2\b|acetylene", "acetylene", False),
+    ("C2H4", r"\bc2h4\b|ethylene|ethene", "ethylene|ethene", False), ("C2H6", r"\bc2h6\b|ethane", "ethane", False), ("CO2", r"\bco2\b|carbon dioxide", "carbon dioxide", False),
+    ("CO", r"\bco\b|carbon monoxide", "carbon monoxide", True), ("O2", r"\bo2\b|oxygen", "oxygen", True), ("N2", r"\bn2\b|nitrogen", "nitrogen", True),
+]
+#: Features and the words that show them.
+FEATURES = {
+    "dga_monitor": ["dga", "dissolved gas"], "temperature_monitor": ["temperature", "winding temp", "hot spot", "hot-spot"], "bushing_monitor": ["bushing"],
+    "fiber_optic": ["fiber optic", "fibre optic", "fiber-optic", "fiber sensor"], "iec61850": ["61850"], "modbus_tcp": ["modbus"], "dnp3": ["dnp3", "dnp 3", "dnp-3"],
+}
 
 
 def squeezed(c: Column) -> Column:
@@ -162,15 +175,18 @@ def verdict(required: Column, low: Column, high: Column, text: Column) -> Column
     return F.when(v == "", "unknown").when((F.size(n) > 0) & ~v.rlike("[a-zA-Z]{3,}"), inside).otherwise(worded)
 
 
-def values_near(text: Column, at: Column, reach: int = 60) -> Column:
+def values_near(text: Column, at: Column, reach: int = NEAR) -> Column:
     """array of struct(raw, number, unit): numbers with units around a position; single figures without unit are left out."""
-    near = window(text, at, reach, reach)
+    none = F.array().cast("array<struct<raw:string,number:string,unit:string>>")
+    return F.when(at < 0, none).otherwise(values_in(window(text, at, reach, reach)))
+
+
+def values_in(near: Column) -> Column:
+    """The same for a piece of text."""
     parts = [F.regexp_extract_all(near, F.lit(VALUE_UNIT), F.lit(k)) for k in range(3)]
     rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("raw", "number", "unit"))))
     kept = F.filter(rows, lambda r: (r["unit"] != "") | (F.length(r["number"]) > 1))
-    return F.when(at < 0, F.array().cast("array<struct<raw:string,number:string,unit:string>>")).otherwise(
-        F.transform(kept, lambda r: F.struct(squeezed(r["raw"]).alias("raw"), r["number"].alias("number"), r["unit"].alias("unit")))
-    )
+    return F.transform(kept, lambda r: F.struct(squeezed(r["raw"]).alias("raw"), r["number"].alias("number"), r["unit"].alias("unit")))
 
 
 def unit_fits(unit: Column, expected: Column, is_count: Column) -> Column:
@@ -268,3 +284,16 @@ def compact_quantity(c: Column) -> Column:
 def percent(c: Column) -> Column:
     """A percentage held between -1000 and 100."""
     return F.greatest(F.least(c, F.lit(100.0)), F.lit(-1000.0))
+
+
+def features(text: Column) -> dict[str, Column]:
+    """A flag for each of FEATURES: whether one of its words stands in the text; false for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return {name: F.greatest(*(F.contains(low, F.lit(w)) for w in words), F.lit(False)) for name, words in FEATURES.items()}
+
+
+def phrases(snippet_: Column, most: int = 8) -> Column:
+    """Distinct parts of a snippet between its stops, the longest first."""
+    parts = F.filter(F.transform(F.split(F.coalesce(snippet_, F.lit("")), r"\.{3}|[.;:\n|]"), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
+    by_size = F.array_sort(F.transform(F.array_distinct(parts), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("p"))))
+    return F.slice(F.transform(by_size, lambda x: x["p"]), 1, most)

@@ -22,11 +22,11 @@ LEAST_CONFIDENCE, PER_DOCUMENT = 0.30, 4
 VOCABULARY = 100_000
 
 
-HIT = "term_ord long, at int, line int, excluded boolean, snippet string"
+HIT = "term_ord long, at int, line int, excluded boolean, snippet string, near string"
 
 
 def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carry, term_ord, at, line, excluded, snippet): the first hit of each term (term_ord, term) in each segment, by the rule of find_term.
+    """(key, carry, term_ord, at, line, excluded, snippet, near): the first hit of each term (term_ord, term) in each segment, by the rule of find_term.
 
     Line, snippet and whether a phrase excludes the hit are read off while the text is at hand, so it is never joined back.
     Null and empty texts and terms have no hit. More than VOCABULARY terms are refused: a vocabulary of that size is no
@@ -61,13 +61,13 @@ def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "tex
                     near = text[max(0, at - X.BEHIND) : at + X.AHEAD].lower()
                     cut = " ".join(text[max(0, at - X.AROUND) : at + X.AROUND].split())
                     cut = ("..." if at > X.AROUND else "") + cut + ("..." if at + X.AROUND < len(text) else "")
-                    rest = (at, text.count("\n", 0, at) + 1, any(c in near for c in X.EXCLUSION_CUES), cut)
+                    rest = (at, text.count("\n", 0, at) + 1, any(c in near for c in X.EXCLUSION_CUES), cut, text[max(0, at - X.NEAR) : at + X.NEAR])
                     out += [(o, *rest) for o in known[t][1]]
                     place += [k] * len(known[t][1])
             if out:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
                 taken = [c.take(pa.array(place)) for c in b.columns[2:]]
-                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], [key, *carry, "term_ord", "at", "line", "excluded", "snippet"])
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], [key, *carry, "term_ord", "at", "line", "excluded", "snippet", "near"])
 
     wanted = segments.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.lower(F.col(text)).alias("_low"), F.col(text).alias("_text"), F.col(key).cast("long").alias(key), *carry)
     schema = ", ".join(f"{n} {t}" for n, t in wanted.dtypes[2:])

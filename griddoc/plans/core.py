@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
-from griddoc.operators import boxes, match, packed, regions, tables, units
+from griddoc.operators import assets, boxes, match, metrics, packed, regions, tables, units
 from griddoc.session import table
 from griddoc.streaming import logs
 
@@ -251,6 +251,31 @@ def located_quotes(spark, d):
     return match.locate_quotes(q, s).select("quote_id", "seg_id", "prefix_rank")
 
 
+def drawing_assets(spark, d):
+    return assets.labelled(table(spark, d, "doc_segment"))
+
+
+def asset_totals(spark, d):
+    return assets.counts(assets.labelled(table(spark, d, "doc_segment")))
+
+
+def document_gases(spark, d):
+    return assets.gases(table(spark, d, "doc_segment")).select("file_name", F.array_join("gases", ",").alias("gases"))
+
+
+def feature_flags(spark, d):
+    f = X.features(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in f.items()))
+
+
+def metric_values(spark, d):
+    m = table(spark, d, "metric_dictionary")
+    names = m.select("row_ord", "metric_id", "unit", "data_type", F.col("standard_name").alias("term"), F.lit(999).alias("k"))
+    syn = packed.unpack(m, "row_ord", "synonyms").join(m, "row_ord").select("row_ord", "metric_id", "unit", "data_type", F.col("val").alias("term"), F.col("pos").alias("k"))
+    terms = names.unionByName(syn).withColumn("term_ord", (F.col("row_ord") * 1000 + F.col("k")).cast("long"))
+    return metrics.metric_values(table(spark, d, "doc_segment"), terms)
+
+
 QUERIES: dict = {
     f.__name__: f
     for f in (
@@ -259,6 +284,7 @@ QUERIES: dict = {
         bounded_context, drawing_labels, dominant_voltage, catalog_upsert, replace_by_key, insert_if_absent, prefer_first, fill_missing,
         feedback_overlay, unique_slugs, carried_forward, distinct_by_hash, first_seen_mode, newest_history, status_pivot, asset_counts,
         url_ranking, set_difference, json_props, canonical_names, scenario_products, event_windows, box_suppression, drawing_tiles, located_quotes,
+        drawing_assets, asset_totals, document_gases, feature_flags, metric_values,
     )
 }
 
@@ -381,6 +407,10 @@ SQL: dict = {
     "url_ranking": r"""with u as (select distinct family_id, datasheet_url, cast(case when contains(lower(datasheet_url), 'altimor') then 1.0 else 0 end + case when regexp_matches(lower(datasheet_url), 'pdf|datasheet|product') then 0.5 else 0 end as decimal(4,1)) as score from product_master where datasheet_url <> '')
         select * from (select *, cast(row_number() over (partition by family_id order by score desc, datasheet_url) as integer) as rank from u) where rank <= 4""",
     "set_difference": "select c_custkey from customer except select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderpriority like '1%'",
+    "document_gases": "with f as (select file_name, " + ", ".join(f"bool_or(regexp_matches(lower(coalesce(text, '')), '{p}')) as any_{g}, bool_or(regexp_matches(lower(coalesce(text, '')), '{n}')) as name_{g}" for g, p, n, _ in X.GASES)
+    + " from doc_segment group by 1), s as (select *, " + " + ".join(f"cast(any_{g} as int)" for g, _, _, a in X.GASES if not a) + " as strong from f) select file_name, concat_ws(',', "
+    + ", ".join(f"case when any_{g} and ({not a} or name_{g} or strong >= 3) then '{g}' end" for g, _, _, a in X.GASES) + ") as gases from s",
+    "feature_flags": "select doc_id, " + ", ".join("(" + " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f") as {n}" for n, ws in X.FEATURES.items()) + " from documents",
     "json_props": "select event_type, cast(sum(cast(json_extract(props, '$.k') as integer)) as bigint) as k, count(json_extract(props, '$.k')) as n from events group by 1",
     "event_windows": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2",
     "drawing_tiles": """with p as (select p_partkey as image_id, p_size * 97 + 300 as width, p_size * 61 + 200 as height from part),
