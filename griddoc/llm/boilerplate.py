@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from griddoc.session import checkpointed, small
@@ -35,6 +35,15 @@ class Counts:
     file_rows: DataFrame
     line_rows: DataFrame
 
+    def write(self, folder: str) -> None:
+        """Store both tables in a new folder; the state merged from an older folder must not overwrite that folder."""
+        self.file_rows.write.parquet(f"{folder}/file_rows")
+        self.line_rows.write.parquet(f"{folder}/line_rows")
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> Counts:
+        return Counts(spark.read.parquet(f"{folder}/file_rows"), spark.read.parquet(f"{folder}/line_rows"))
+
 
 def _file_key() -> list:
     name, missing = F.coalesce(F.col("file_name"), F.lit("")), F.col("file_name").isNull()

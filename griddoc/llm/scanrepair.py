@@ -98,7 +98,7 @@ def is_scanned(text: str, location: str | None, mail: bool) -> bool:
     return full >= 0.35 * len(pairs) and ended <= 0.5 * len(pairs)
 
 
-_MAIL = "coalesce(lower(trim(doc_type)) = 'raw email', false) or coalesce(lower(file_name) rlike '[.](eml|msg)$', false)"
+_MAIL = "coalesce(regexp_replace(lower(doc_type), '[^a-z]', '') in ('rawemail', 'email'), false) or coalesce(lower(file_name) rlike '[.](eml|msg)$', false)"
 
 
 def _pages(rows: DataFrame) -> DataFrame:

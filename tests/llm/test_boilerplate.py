@@ -42,11 +42,13 @@ def test_equals_brute_force(spark):
     assert got == brute(DATA) and got
 
 
-def test_incremental_equals_full(spark):
+def test_incremental_equals_full(spark, tmp_path):
     parts = [DATA[0::3], DATA[1::3], DATA[2::3]]
     state = None
-    for p in parts:
-        before, state = state, b.merge_counts(state, b.count_delta(rows(spark, p)))
+    for k, p in enumerate(parts):
+        before = state
+        b.merge_counts(state, b.count_delta(rows(spark, p))).write(str(tmp_path / f"state{k}"))
+        state = b.Counts.read(spark, str(tmp_path / f"state{k}"))
     assert {tuple(r) for r in b.frequent(state).collect()} == {tuple(r) for r in b.frequent(b.count_delta(rows(spark, DATA))).collect()}
     changed = {r["seg_id"] for r in b.rows_to_rebuild(rows(spark, DATA), before, state).collect()}
     earlier = brute(parts[0] + parts[1])
