@@ -26,6 +26,8 @@ from griddoc.session import checkpointed, small
 
 #: Longest line of a scanned page, lines at each edge that may be headers or footers, repetitions that make one.
 WIDTH, TOP, BOTTOM, PER_FILE, PER_CORPUS = 80, 3, 2, 2, 3
+#: The same for lines that only begin alike ("Survey of ..."), nine of ten of which must be as short as titles are.
+PER_BEGINNING = 10
 #: The most common words, which are not looked up again; a bound for the broadcast, without effect on the result.
 COMMON = 50_000
 #: Words counted per worker before they are passed on.
@@ -56,6 +58,7 @@ def folded(line: str) -> str:
     for a, b in _FOLD:
         t = t.replace(a, b)
     t = t.translate(_FOLD_ONE)
+    t = re.sub(r"(?<= )[a-z]$", "#", t)
     return re.sub(r"(?<![^\W\d_])[ios\d]*\d[ios\d]*(?![^\W\d_])|(?<=/)[ios\d]+(?= )|\b[ios]+\b(?= *$)", "#", t)
 
 
@@ -240,7 +243,12 @@ def running_lines(edges: DataFrame) -> DataFrame:
     by_file = pages.groupBy("file_name", "form").agg(F.count_distinct("seg_id").alias("n_file"), F.count_if("unfilled").alias("u_file"))
     by_key = by_file.groupBy("form").agg(F.sum("n_file").alias("n_all"), F.sum("u_file").alias("u_all"))
     keys = by_file.join(by_key, "form").where((F.col("n_file") >= PER_FILE) & (F.col("u_file") * 2 >= F.col("n_file")) | (F.col("n_all") >= PER_CORPUS) & (F.col("u_all") * 2 >= F.col("n_all")))
-    return pages.join(keys.select("file_name", "form"), ["file_name", "form"], "left_semi").where("unfilled").select("seg_id", "line_no").distinct()
+    head = F.array_join(F.slice(F.split("form", " "), 1, 2), " ")
+    beginnings = pages.groupBy(head.alias("head")).agg(F.count_distinct("seg_id").alias("n"), F.count_if("unfilled").alias("u"))
+    beginnings = beginnings.where((F.col("n") >= PER_BEGINNING) & (F.col("u") * 10 >= F.col("n") * 9)).select("head")
+    short = pages.where("unfilled").withColumn("head", head)
+    same = short.join(keys.select("file_name", "form"), ["file_name", "form"], "left_semi")
+    return same.unionByName(short.join(beginnings, "head", "left_semi")).select("seg_id", "line_no").distinct()
 
 
 def _resolved(forms: DataFrame, counts: DataFrame) -> DataFrame:
