@@ -135,14 +135,14 @@ def dominant_voltage(spark, d):
 
 
 def catalog_upsert(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_retailprice").cast("decimal(12,2)").alias("price"), F.col("p_partkey").alias("ord"))
-    new = p.where("p_partkey % 3 = 0").select((F.col("p_partkey") * 2).alias("p_partkey"), "p_name", F.lit("new").alias("p_brand"), (F.col("price") + 1).cast("decimal(12,2)").alias("price"), "ord")
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", F.col("p_retailprice").cast("decimal(12,2)").alias("price"), F.col("p_partkey").alias("ord"))
+    new = p.where("p_size > 30").select((F.col("p_partkey") * 2).alias("p_partkey"), "p_name", F.lit("new").alias("p_brand"), "p_size", (F.col("price") + 1).cast("decimal(12,2)").alias("price"), "ord")
     return tables.upsert(p, new, F.col("p_partkey"), ["p_partkey", "p_name"], "ord").select("p_partkey", "p_name", "p_brand", "price")
 
 
 def replace_by_key(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"))
-    new = li.where("l_orderkey % 7 = 0 and l_linenumber <= 2").withColumn("quantity", F.col("quantity") + 100)
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("int").alias("quantity"))
+    new = li.where("l_returnflag = 'R'").withColumn("quantity", F.col("quantity") + 100)
     out = tables.replace_by_key(li, new, "l_orderkey", ["l_orderkey", "l_linenumber"], ["l_partkey", "quantity"])
     return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
 
@@ -155,11 +155,11 @@ def insert_if_absent(spark, d):
 
 def prefer_first(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderpriority").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    return tables.prefer(o.where("o_custkey % 2 = 0"), o.where("o_custkey % 3 = 0").withColumn("n", -F.col("n")), ["o_custkey"])
+    return tables.prefer(o.where("o_orderpriority = '1-URGENT'"), o.withColumn("n", -F.col("n")), ["o_custkey"])
 
 
 def fill_missing(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).otherwise("").alias("segment"), F.col("c_nationkey").alias("rank"))
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).otherwise("").alias("segment"), F.col("c_nationkey").alias("rank"))
     o = table(spark, d, "orders").groupBy((F.col("o_custkey") + 100).alias("c_custkey")).agg(F.max("o_orderpriority").alias("segment"), F.count(F.lit(1)).cast("int").alias("rank"))
     return tables.fill_missing(c, o, ["c_custkey"], "segment", "rank")
 
@@ -376,18 +376,18 @@ SQL: dict = {
         u as (select file_name, seg_id * 1000 + generate_subscripts(l, 1) as place, cast(unnest(l) as integer) as kv from v),
         c as (select file_name, kv, count(*) as n, min(place) as f from u group by 1, 2)
         select file_name, kv, n from (select *, row_number() over (partition by file_name order by n desc, f) as r from c) where r = 1""",
-    "catalog_upsert": """with p as (select p_partkey, p_name, p_brand, cast(p_retailprice as decimal(12,2)) as price from part),
-        n as (select p_partkey * 2 as k, p_name, 'new' as p_brand, cast(price + 1 as decimal(12,2)) as price from p where p_partkey % 3 = 0)
+    "catalog_upsert": """with p as (select p_partkey, p_name, p_brand, p_size, cast(p_retailprice as decimal(12,2)) as price from part),
+        n as (select p_partkey * 2 as k, p_name, 'new' as p_brand, cast(price + 1 as decimal(12,2)) as price from p where p_size > 30)
         select coalesce(p.p_partkey, n.k) as p_partkey, case when p.p_partkey is not null then p.p_name else n.p_name end as p_name, coalesce(n.p_brand, p.p_brand) as p_brand, coalesce(n.price, p.price) as price from p full join n on p.p_partkey = n.k""",
-    "replace_by_key": """with li as (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as quantity from lineitem),
-        n as (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, quantity) as r from li where l_orderkey % 7 = 0 and l_linenumber <= 2),
+    "replace_by_key": """with li as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, cast(l_quantity as integer) as quantity from lineitem),
+        n as (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, quantity) as r from li where l_returnflag = 'R'),
         u as (select l_orderkey, quantity from li where l_orderkey not in (select l_orderkey from n) union all select l_orderkey, quantity + 100 from n where r = 1)
         select l_orderkey, count(*) as n, cast(sum(quantity) as bigint) as quantity from u group by 1""",
     "insert_if_absent": """with n as (select s_suppkey + s_nationkey as k, upper(s_name) as s_name, s_nationkey, row_number() over (partition by s_suppkey + s_nationkey order by upper(s_name)) as r from supplier)
         select s_suppkey, s_name, s_nationkey from supplier union all select k, s_name, s_nationkey from n where r = 1 and k not in (select s_suppkey from supplier)""",
     "prefer_first": """with o as (select o_custkey, o_orderpriority, count(*) as n from orders group by 1, 2)
-        select * from o where o_custkey % 2 = 0 union all select o_custkey, o_orderpriority, -n from o where o_custkey % 3 = 0 and o_custkey not in (select o_custkey from o where o_custkey % 2 = 0)""",
-    "fill_missing": """with c as (select c_custkey, case when c_custkey % 4 <> 0 then c_mktsegment else '' end as segment, c_nationkey as rank from customer),
+        select * from o where o_orderpriority = '1-URGENT' union all select o_custkey, o_orderpriority, -n from o where o_custkey not in (select o_custkey from o where o_orderpriority = '1-URGENT')""",
+    "fill_missing": """with c as (select c_custkey, case when c_acctbal >= 0 then c_mktsegment else '' end as segment, c_nationkey as rank from customer),
         o as (select o_custkey + 100 as c_custkey, max(o_orderpriority) as segment, cast(count(*) as integer) as rank from orders group by 1)
         select coalesce(c.c_custkey, o.c_custkey) as c_custkey, case when c.segment <> '' then c.segment else o.segment end as segment, greatest(c.rank, o.rank) as rank from c full join o on c.c_custkey = o.c_custkey""",
     "feedback_overlay": """with e as (select user_id, max(event_type) as t, count(*) filter (event_type = 'error') > 15 as deleted from events where event_type in ('error', 'view') group by 1)
