@@ -76,5 +76,19 @@ SQL = {
         c as (select f, k, count(distinct seg_id) as n from l where k <> '' group by 1, 2)
         select l.seg_id, cast(l.line_no as integer) as line_no
         from l join c using (f, k) join n using (f) where c.n >= 4 and c.n * 5 >= n.n_rows""",
+    "p1_clean": r"""
+        with l as (
+            select seg_id, coalesce(file_name, '') as f, generate_subscripts(string_split(text, chr(10)), 1) as line_no, unnest(string_split(text, chr(10))) as t from doc_segment where text is not null),
+        k as (select *, regexp_replace(lower(t), '[^\p{L}]', '', 'g') as k from l),
+        n as (select coalesce(file_name, '') as f, count(*) as n_rows from doc_segment group by 1),
+        c as (select f, k from (select f, k, count(distinct seg_id) as n from k where k <> '' group by 1, 2) join n using (f) where n >= 4 and n * 5 >= n_rows),
+        a as (select seg_id, string_agg(t, chr(10) order by line_no) as clean from k left join c using (f, k) where c.k is null group by 1)
+        select s.seg_id, case when s.text is not null then coalesce(a.clean, '') end as clean from doc_segment s left join a using (seg_id)""",
+    "p9_found": r"""
+        with i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item),
+        d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+        ig as (select item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as k from i)),
+        dg as (select doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) as k from d))
+        select distinct item_id, doc_id from ig join dg using (g)""",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
