@@ -412,6 +412,7 @@ SQL: dict = {
     + ", ".join(f"case when any_{g} and ({not a} or name_{g} or strong >= 3) then '{g}' end" for g, _, _, a in X.GASES) + ") as gases from s",
     "feature_flags": "select doc_id, " + ", ".join("(" + " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f") as {n}" for n, ws in X.FEATURES.items()) + " from documents",
     "json_props": "select event_type, cast(sum(cast(json_extract(props, '$.k') as integer)) as bigint) as k, count(json_extract(props, '$.k')) as n from events group by 1",
+    "scenario_products": r"with u as (select product_id, unnest(regexp_extract_all(applicable_scenarios, '[A-Z]{3}_[A-Z]{3}_[0-9]{3}')) as scenario_id from product_master) select scenario_id, count(distinct product_id) as products from u group by 1",
     "event_windows": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2",
     "drawing_tiles": """with p as (select p_partkey as image_id, p_size * 97 + 300 as width, p_size * 61 + 200 as height from part),
         x as (select *, unnest(generate_series(0, greatest(width - 251, 0), 1150)) as x from p), y as (select *, unnest(generate_series(0, greatest(height - 251, 0), 1150)) as y from x)
