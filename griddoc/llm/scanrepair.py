@@ -251,12 +251,10 @@ def running_lines(edges: DataFrame) -> DataFrame:
     return same.unionByName(short.join(beginnings, "head", "left_semi")).select("seg_id", "line_no").distinct()
 
 
-def _resolved(forms: DataFrame, counts: DataFrame) -> DataFrame:
-    """(form, repaired) for each form (with its own count) that is suspect and has a sure replacement."""
+def _resolved(forms: DataFrame, counts: DataFrame, rate: float) -> DataFrame:
+    """(form, repaired) for each form that is suspect and has a sure replacement; rate: words of other text per scanned word."""
     seen = forms.join(counts, forms["form"] == counts["word"], "left").select("form", F.coalesce("other", F.lit(0)).alias("other"), F.coalesce("scans", F.lit(0)).alias("scans"))
-    total = counts.agg(F.sum("other").alias("o"), F.sum("scans").alias("s"))
-    rate = total.select((F.col("o") / F.greatest(F.col("s"), F.lit(1))).alias("rate"))
-    suspect = seen.join(F.broadcast(rate)).where(F.col("other") < RARE * F.col("rate") * F.greatest("scans", F.lit(1))).select("form", "scans")
+    suspect = seen.where(F.col("other") < RARE * rate * F.greatest("scans", F.lit(1))).select("form", "scans")
     suspect = checkpointed(suspect)
     lookup = counts.select(F.col("word").alias("v"), F.col("other").alias("n")).where(F.col("n") >= SURE)
     best = W.partitionBy("form").orderBy(F.col("n").desc(), "v")
@@ -292,7 +290,7 @@ def damaged(rows: DataFrame) -> DataFrame:
     # A parted word is the form that is more common; where neither is known, what either can be mended to; else the plain one,
     # but within a line, where a dash may be meant, none.
     every = forms.select("form").unionByName(forms.where("other is not null").select(F.col("other").alias("form"))).distinct()
-    mend = small(checkpointed(_resolved(every, counts)))
+    mend = small(checkpointed(_resolved(every, counts, rate)))
     c = counts.select("word", F.col("other").alias("k"))
     known = (
         forms.join(c.select(F.col("word").alias("form"), F.col("k").alias("k1")), "form", "left")
