@@ -200,15 +200,30 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != ""))
 
 
+def mail_like(text: Column) -> Column:
+    """Whether a text begins like a mail."""
+    return F.contains(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500)), F.lit("from:"))
+
+
+def drawing_like(text: Column) -> Column:
+    """Whether a text speaks of what drawings show."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("single line diagram|legend|circuit breaker")
+
+
 def doc_type(name: Column, text: Column) -> Column:
     """Kind of document by its name, then by its first text."""
-    n, t = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    return doc_type_of(name, mail_like(text), drawing_like(text))
+
+
+def doc_type_of(name: Column, mail: Column, drawing: Column) -> Column:
+    """The same from what mail_like and drawing_like say."""
+    n = F.lower(F.coalesce(name, F.lit("")))
     return (
         F.when(n.rlike("sld|gsld|drawing|diagram|_dwg"), "Drawing / SLD")
-        .when(n.rlike(r"\.(eml|msg)$|raw email") | F.contains(F.substring(t, 1, 500), F.lit("from:")), "Raw Email")
+        .when(n.rlike(r"\.(eml|msg)$|raw email") | mail, "Raw Email")
         .when(n.rlike("spec|tender|scope|requirement"), "Project Specification")
         .when(n.rlike("boq|quantity|schedule"), "Equipment List / BOQ")
-        .when(n.rlike(r"\.pdf$") & t.rlike("single line diagram|legend|circuit breaker"), "Drawing / SLD")
+        .when(n.rlike(r"\.pdf$") & drawing, "Drawing / SLD")
         .otherwise("Supporting")
     )
 

@@ -18,10 +18,9 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from griddoc.functions.text import doc_type
+from griddoc.functions.text import doc_type_of
 
 #: Extensions that are read.
 EXTENSIONS = ["pdf", "docx", "xlsx", "xlsm", "pptx", "csv", "eml", "msg", "txt", "md"]
@@ -150,23 +149,30 @@ def parse(name: str, data: bytes) -> Segments:
 
 
 def read_folder(spark: SparkSession, folder: str, drawings: tuple[str, ...] = ()) -> DataFrame:
-    """(path, file_name, doc_ord, seg_ord, location, text, doc_type) of all files below a folder with a known extension.
+    """(path, file_name, seg_ord, location, text, doc_type) of all files below a folder with a known extension.
 
-    Names in drawings (in any case) are drawings whatever they are called. Files without text are left out, but PDF files
-    and drawings keep one row without text.
+    Documents are ordered by path, segments by seg_ord. Names in drawings (in any case) are drawings whatever they are called.
+    Files without text are left out, but PDF files and drawings keep one row without text. Each file is parsed once, and
+    nothing is shuffled: what the kind of document needs of the first segment goes along as two flags.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
+    low = {x.lower() for x in drawings}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, data in zip(b["path"], b["content"]):
                 name = path.rsplit("/", 1)[-1]
-                rows += [(path, name, k, loc, t) for k, (loc, t) in enumerate(parse(name, data), 1)] or ([(path, name, 1, None, None)] if name.lower().endswith(".pdf") or name.lower() in low else [])
-            yield pd.DataFrame(rows, columns=["path", "file_name", "seg_ord", "location", "text"])
-
-    low = {x.lower() for x in drawings}
-    segments = files.where(ext.isin(EXTENSIONS)).select("path", "content").mapInPandas(run, "path string, file_name string, seg_ord int, location string, text string")
-    first = segments.where("seg_ord = 1").select("path", F.dense_rank().over(W.orderBy("path")).alias("doc_ord"), F.when(F.lower("file_name").isin(list(low)), "Drawing / SLD").otherwise(doc_type(F.col("file_name"), F.col("text"))).alias("doc_type"))
-    return segments.join(first, "path").select("path", "file_name", "doc_ord", "seg_ord", "location", "text", "doc_type")
+                found = parse(name, data)
+                head = found[0][1].lower() if found else ""
+                flags = "from:" in head[:500], any(w in head for w in ("single line diagram", "legend", "circuit breaker"))
+                rows += [(path, name, k, loc, t, *flags) for k, (loc, t) in enumerate(found, 1)]
+                if not found and (name.lower().endswith(".pdf") or name.lower() in low):
+                    rows.append((path, name, 1, None, None, *flags))
+            yield pd.DataFrame(rows, columns=["path", "file_name", "seg_ord", "location", "text", "mail", "drawing"])
+
+    schema = "path string, file_name string, seg_ord int, location string, text string, mail boolean, drawing boolean"
+    segments = files.where(ext.isin(EXTENSIONS)).select("path", "content").mapInPandas(run, schema)
+    kind = F.when(F.lower("file_name").isin(sorted(low)), "Drawing / SLD").otherwise(doc_type_of(F.col("file_name"), F.col("mail"), F.col("drawing")))
+    return segments.select("path", "file_name", "seg_ord", "location", "text", kind.alias("doc_type"))
