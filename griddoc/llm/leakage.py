@@ -2,9 +2,9 @@
 
 A pair counts if RUN consecutive words of the item stand consecutively in the document. Items are short and documents
 long, so plain MinHash similarity is low even for full leaks; both sides are therefore cut into parts of one size, every
-window of RUN words, for which the containment looked for is exactly 1. The MinHash of a window is the least hash of its
-shingles of SHINGLE words. Two equal windows have equal shingles, hence an equal MinHash: the search loses no pair. The
-candidates are then verified by exact containment of a shingle of RUN words.
+window of RUN words, for which the containment looked for is exactly 1. The MinHash signature of a window is the least hash
+of its shingles of SHINGLE words under each of SIGNATURE hash functions. Two equal windows have equal shingles, hence equal
+signatures: the search loses no pair. The candidates are then verified by exact containment of a shingle of RUN words.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from griddoc.session import checkpointed, small
 
 RUN = 12
 SHINGLE = 5
+SIGNATURE = 4
 #: Words whose hash is kept per worker; beyond that the store is emptied, which changes the speed only.
 KEPT = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -45,7 +46,7 @@ def _hash(word: str) -> int:
 
 
 def fingerprints(ws: list[str]) -> np.ndarray:
-    """MinHash of each window of RUN words, without repetition; none for fewer words."""
+    """MinHash signature of each window of RUN words, as one number, without repetition; none for fewer words."""
     if len(ws) < RUN:
         return np.empty(0, np.int64)
     h = np.fromiter(map(_hash, ws), np.uint64, len(ws))
@@ -53,9 +54,12 @@ def fingerprints(ws: list[str]) -> np.ndarray:
     s = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    s = (s ^ (s >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(29)
-    return np.unique(sliding_window_view(s, RUN - SHINGLE + 1).min(axis=1)).view(np.int64)
+    out = np.zeros(len(ws) - RUN + 1, np.uint64)
+    for k in range(SIGNATURE):
+        x = (s ^ (s >> np.uint64(31 - 2 * k))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        x ^= x >> np.uint64(29)
+        out = out * np.uint64(0x94D049BB133111EB) + sliding_window_view(x, RUN - SHINGLE + 1).min(axis=1)
+    return np.unique(out).view(np.int64)
 
 
 def _marks(rows: DataFrame, key: str) -> DataFrame:
