@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +44,16 @@ def _hash(word: str) -> int:
     return h
 
 
+def _least(x: np.ndarray, size: int) -> np.ndarray:
+    """Least of every size consecutive values, by doubling the reach."""
+    reach = 1
+    while reach * 2 <= size:
+        x = np.minimum(x[:-reach], x[reach:])
+        reach *= 2
+    rest = size - reach
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
 def fingerprints(ws: list[str]) -> np.ndarray:
     """MinHash signature of each window of RUN words, as one number, without repetition; none for fewer words."""
     if len(ws) < RUN:
@@ -58,7 +67,7 @@ def fingerprints(ws: list[str]) -> np.ndarray:
     for k in range(SIGNATURE):
         x = (s ^ (s >> np.uint64(31 - 2 * k))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
         x ^= x >> np.uint64(29)
-        out = out * np.uint64(0x94D049BB133111EB) + sliding_window_view(x, RUN - SHINGLE + 1).min(axis=1)
+        out = out * np.uint64(0x94D049BB133111EB) + _least(x, RUN - SHINGLE + 1)
     return np.unique(out).view(np.int64)
 
 

@@ -46,3 +46,11 @@ def test_long_text_is_read_to_its_end(spark):
     i = spark.createDataFrame([(1, item)], "item_id long, text string")
     d = spark.createDataFrame([(2, "filler words " * 100_000 + item)], "doc_id long, text string")
     assert [tuple(r) for r in k.leaks(i, d).collect()] == [(1, 2)]
+
+
+def test_least_of_windows():
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 1000, 50).astype(np.uint64)
+    for size in (1, 2, 3, 5, 8, 50):
+        assert k._least(x, size).tolist() == [min(x[i : i + size]) for i in range(len(x) - size + 1)]
