@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,30 +21,34 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
-def _kept(g: pd.DataFrame, overlap: float) -> pd.DataFrame:
-    g = g.sort_values(["confidence", "box_id"], ascending=[False, True], ignore_index=True)
-    x, y, w, h = (g[c].to_numpy() for c in "xywh")
-    kept: list[int] = []
-    for i in range(len(g)):
-        k = kept
-        iw = (x[k] + w[k]).clip(max=x[i] + w[i]) - x[k].clip(min=x[i])
-        ih = (y[k] + h[k]).clip(max=y[i] + h[i]) - y[k].clip(min=y[i])
-        shared = iw.clip(min=0) * ih.clip(min=0)
-        union = w[k] * h[k] + w[i] * h[i] - shared
-        if not ((union > 0) & (shared > overlap * union)).any():
-            kept.append(i)
-    return g.iloc[kept]
-
-
 def suppress(boxes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """Greedy suppression within each image and type: from the most certain box down, a box stays unless it overlaps a kept one.
 
-    boxes: image_id, type, box_id, x, y, w, h, confidence. The rule depends on the order, so each image's boxes of a type,
-    as many as one drawing holds, are one group.
+    boxes: image_id, type, box_id, x, y, w, h, confidence; equally certain ones in the order of box_id. The rule depends on
+    the order, so Spark sorts the rows within partitions and one pass keeps only the boxes kept so far of the present group.
     """
     cols = ["image_id", "type", "box_id", "x", "y", "w", "h", "confidence"]
-    b = boxes.select(*cols)
-    return b.groupBy("image_id", "type").applyInPandas(lambda g: _kept(g, overlap)[cols], b.schema)
+    ordered = boxes.select(*cols).repartition("image_id", "type").sortWithinPartitions("image_id", "type", F.col("confidence").desc(), "box_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, []
+        for b in batches:
+            stays = []
+            for image, kind, x, y, w, h in zip(*(b[c].tolist() for c in ("image_id", "type", "x", "y", "w", "h"))):
+                if (image, kind) != group:
+                    group, kept = (image, kind), []
+                right, low, area = x + w, y + h, w * h
+                for kx, ky, kr, kl, ka in kept:
+                    iw, ih = min(right, kr) - max(x, kx), min(low, kl) - max(y, ky)
+                    if iw > 0 and ih > 0 and iw * ih > overlap * (area + ka - iw * ih):
+                        stays.append(False)
+                        break
+                else:
+                    kept.append((x, y, right, low, area))
+                    stays.append(True)
+            yield b[stays]
+
+    return ordered.mapInPandas(run, ordered.schema)
 
 
 def tiles(images: DataFrame, tile: int = TILE, shared: int = SHARED) -> DataFrame:

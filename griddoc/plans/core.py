@@ -177,7 +177,8 @@ def unique_slugs(spark, d):
 
 def carried_forward(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("bought"))
-    return tables.carried(e, ["user_id"], "bought", "event_id", "last_bought")
+    c = tables.carried(e, ["user_id"], "bought", "event_id", "last_bought")
+    return c.select("user_id", "event_id", F.coalesce("last_bought", F.lit(-1)).alias("last_bought"))
 
 
 def distinct_by_hash(spark, d):
@@ -396,7 +397,7 @@ SQL: dict = {
         d as (select row_ord, family_id, case when s = '' then 'MODEL' else s end as s from s), n as (select *, row_number() over (partition by family_id, s order by row_ord) as n from d)
         select row_ord, family_id, case when n = 1 then s else s || '_' || n end as slug from n""",
     "carried_forward": """with e as (select user_id, event_id, case when event_type = 'purchase' then event_id end as bought from events)
-        select *, last_value(bought ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_bought from e""",
+        select user_id, event_id, coalesce(last_value(bought ignore nulls) over (partition by user_id order by event_id rows unbounded preceding), -1) as last_bought from e""",
     "distinct_by_hash": "select doc_id, source from (select *, row_number() over (partition by md5(text) order by doc_id) as r from documents) where r = 1 or text is null",
     "first_seen_mode": """with c as (select user_id, event_type, count(*) as n, min(event_id) as f from events group by 1, 2)
         select user_id, event_type, n from (select *, row_number() over (partition by user_id order by n desc, f) as r from c) where r = 1""",
