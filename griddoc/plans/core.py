@@ -362,6 +362,18 @@ SQL: dict = {
         f as (select *, max(hi) over (partition by file_name order by lo, hi rows between unbounded preceding and 1 preceding) as ahead from s),
         g as (select *, sum(case when ahead is null or lo > ahead + 1 then 1 else 0 end) over (partition by file_name order by lo, hi rows unbounded preceding) as g from f)
         select file_name, min(lo) as lo, max(hi) as hi from g group by file_name, g""",
+    "chunk_packing": f"""with recursive {_CONTENTS},
+        s as (select file_name, seg_id, length(trim(text)) as size, row_number() over (partition by file_name order by seg_ord, seg_id) as p from seg where not contents and length(trim(text)) > 0),
+        r as (select file_name, seg_id, p, 0 as chunk, size + 1 as used from s where p = 1
+              union all select s.file_name, s.seg_id, s.p, case when r.used + s.size > 4000 then r.chunk + 1 else r.chunk end, case when r.used + s.size > 4000 then s.size + 1 else r.used + s.size + 1 end
+              from r join s on s.file_name = r.file_name and s.p = r.p + 1)
+        select file_name, seg_id, chunk from r""",
+    "located_quotes": f"""with {_CONTENTS},
+        s as (select file_name, seg_id, seg_ord, {_NORMAL.format("text")} as t from seg where not contents),
+        q as (select seg_id as quote_id, file_name, {_NORMAL.format("upper(substring(text, 20, 120))")} as q from doc_segment where text is not null and seg_id % 100 = 0),
+        p as (select quote_id, file_name, q, unnest([10000, 160, 100, 60, 40]) as n, unnest([0, 1, 2, 3, 4]) as prefix_rank from q where q <> ''),
+        f as (select quote_id, s.seg_id, seg_ord, prefix_rank from p join s using (file_name) where contains(t, substring(q, 1, n)))
+        select quote_id, seg_id, prefix_rank from (select *, row_number() over (partition by quote_id order by prefix_rank, seg_ord, seg_id) as r from f) where r = 1""",
     "line_offsets": """with l as (select file_name, seg_id, seg_ord, len(string_split(coalesce(text, ''), chr(10))) as n from doc_segment),
         w as (select *, cast(sum(n) over (partition by file_name order by seg_ord, seg_id rows unbounded preceding) as bigint) as last_line from l)
         select file_name, seg_id, last_line - n + 1 as first_line, last_line from w""",
