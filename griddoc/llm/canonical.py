@@ -188,7 +188,9 @@ class Ranker:
 
     def _near_string(self, j: str, most: int) -> str | None:
         hits = Counter(x for k in range(len(j) - 2) for x in self.grams.get(j[k : k + 3], ()))
-        close = sorted((d, x) for x, n in hits.most_common(8) if (d := distance(j, x, most)) <= most)
+        # An edit touches at most four of the name's trigrams (a swap of neighbours does), so no entry within reach has fewer.
+        fewest = len(j) - 2 - 4 * most
+        close = sorted((d, x) for x, n in hits.items() if n >= fewest and abs(len(j) - len(x)) <= most and (d := distance(j, x, most)) <= most)
         return self.joined[close[0][1]] if close else None
 
     def rank(self, name: list[str]) -> tuple[str, float]:

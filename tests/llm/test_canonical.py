@@ -43,3 +43,9 @@ def test_distance(a, b, d):
 @pytest.mark.parametrize("short, word, yes", [("temp", "temperature", True), ("tmp", "temperature", True), ("dslvd", "dissolved", True), ("bkr", "breaker", True), ("top", "tower", False), ("volt", "voltage", True), ("cat", "category", True), ("oil", "oil", False)])
 def test_abbreviations(short, word, yes):
     assert k.shortens(short, word) is yes
+
+
+@pytest.mark.parametrize("name", ["abcdxfghijkxmnopqrxtu", "abdcefghikjlmnoprqstu"])
+def test_a_near_string_is_found_among_many_that_share_more_pieces(name):
+    entries = [(f"D{n}", ["z" * (4 + n) + name]) for n in range(12)] + [("M", ["abcdefghijklmnopqrstu"])]
+    assert k.Ranker(entries).rank([name])[0] == "M"
