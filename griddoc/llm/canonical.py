@@ -8,7 +8,8 @@ Then whole names: the repaired tokens are compared with all entries by soft TF-I
 letters of a word, in order, from the first one) stands for the word; names run together are compared as strings. The best
 entry is taken if it explains enough of the name and the name enough of it.
 
-The reference list is the dictionary, of fixed size, and the names already mapped by hand, at most LABELLED of them.
+The reference list is the dictionary and all names already mapped by hand, each once. Names equal to an entry are joined to it; the
+rest are ranked against every entry, LABELLED entries at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import log, sqrt
 
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from griddoc.operators.packed import is_nothing, stripped, unpack
 from griddoc.session import checkpointed, small
 
-#: Names mapped by hand that are read as further entries; the bound keeps the reference list small enough for every worker.
+#: Entries that a worker holds at once; a longer reference list is ranked in several passes, of which the best counts.
 LABELLED = 20_000
 #: Share of the name and of the entry, by weight, that must be explained.
 OF_NAME, OF_ENTRY = 0.74, 0.5
@@ -126,18 +127,35 @@ def repairs(words: DataFrame, known: DataFrame) -> DataFrame:
     return near.withColumn("r", F.row_number().over(best)).where("r = 1").select("token", F.col("c").alias("repaired"))
 
 
+#: Orders of a name equal to an entry and of one without any; between them lie scores, above zero, and near strings, below.
+EQUAL, NONE = 1e9, -1e9
+
+
+def forms(name: list[str]) -> list[str]:
+    """The strings under which a name may equal an entry, best first: as it is, and each rotation without noise."""
+    ws = [w for w in name if w not in NOISE] or name
+    return list(dict.fromkeys("".join(f) for f in (name, *(ws[k:] + ws[:k] for k in range(len(ws))))))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _forms(names: pd.Series) -> pd.Series:
+    return names.map(lambda ws: forms(list(ws)))
+
+
 class Ranker:
-    """Soft TF-IDF over the entries (metric_id, tokens)."""
+    """Soft TF-IDF over the entries (metric_id, tokens), which may be a part of the list.
+
+    df: in how many metrics' entries each word of the whole list stands, and metrics: how many metrics it has; both are counted among
+    the entries if not given.
+    """
 
-    def __init__(self, entries: list[tuple[str, list[str]]]):
+    def __init__(self, entries: list[tuple[str, list[str]]], df: dict[str, int] | None = None, metrics: int = 0):
         self.entries = [(m, [w for w in ws if w not in NOISE] or ws) for m, ws in entries if ws]
-        metrics = {m for m, _ in self.entries}
-        df: dict[str, set] = defaultdict(set)
-        for m, ws in self.entries:
-            for w in ws:
-                df[w].add(m)
-        self.most = log(1 + len(metrics))
-        self.idf = {w: (0.15 if w in SMALL_WORDS else 1.0) * log(1 + len(metrics) / len(ms)) for w, ms in df.items()}
+        if df is None:
+            metrics = len({m for m, _ in self.entries})
+            df = Counter(w for w, _ in {(w, m) for m, ws in self.entries for w in ws})
+        self.most = log(1 + metrics)
+        self.idf = {w: (0.15 if w in SMALL_WORDS else 1.0) * log(1 + metrics / n) for w, n in df.items()}
         self.by_word: dict[str, list[int]] = defaultdict(list)
         self.by_first: dict[str, list[str]] = defaultdict(list)
         for i, (_, ws) in enumerate(self.entries):
@@ -176,32 +194,36 @@ class Ranker:
                         best[end] = (*best[start], piece)
         return best[-1] or (word,)
 
-    def _as_string(self, ws: list[str]) -> str | None:
-        """The entry that equals the name as a string, or nearly so."""
+    def _as_string(self, ws: list[str]) -> tuple[str, int] | None:
+        """The metric of the entry that equals the name as a string, or nearly so, and how far it is: rotation first, then edits."""
         most = min(3, sum(map(len, ws)) // 7)
         if not most or len(ws) > 3:
             return None
         for k in range(len(ws)):
             if (m := self._near_string("".join(ws[k:] + ws[:k]), most)) is not None:
-                return m
+                return m[0], 10 * k + m[1]
         return None
 
-    def _near_string(self, j: str, most: int) -> str | None:
+    def _near_string(self, j: str, most: int) -> tuple[str, int] | None:
         hits = Counter(x for k in range(len(j) - 2) for x in self.grams.get(j[k : k + 3], ()))
         # An edit touches at most four of the name's trigrams (a swap of neighbours does), so no entry within reach has fewer.
         fewest = len(j) - 2 - 4 * most
         close = sorted((d, x) for x, n in hits.items() if n >= fewest and abs(len(j) - len(x)) <= most and (d := distance(j, x, most)) <= most)
-        return self.joined[close[0][1]] if close else None
+        return (self.joined[close[0][1]], close[0][0]) if close else None
 
     def rank(self, name: list[str]) -> tuple[str, float]:
         """(metric_id, score), metric_id empty if no entry fits."""
+        return self.ranked(name)[:2]
+
+    def ranked(self, name: list[str]) -> tuple[str, float, float]:
+        """(metric_id, score, order): of several parts of the list, the one of greatest order decides."""
         ws = [w for w in name if w not in NOISE] or name
         if not ws:
-            return "", 0.0
+            return "", 0.0, NONE
         # "Temperature, Top Oil" is the same name as "Top Oil Temperature", and "hots-pot" as "hot spot".
-        for form in (name, *(ws[k:] + ws[:k] for k in range(len(ws)))):
-            if (m := self.joined.get("".join(form))) is not None:
-                return m, 1.0
+        for k, form in enumerate(forms(name)):
+            if (m := self.joined.get(form)) is not None:
+                return m, 1.0, EQUAL - k
         ws = [x for w in ws for x in self.parts(w)]
         near = [self.near(w) for w in ws]
         weight = [max((self.idf[v] for v, _ in n if v in self.idf), default=self.most) if n else (0.1 if w in SMALL_WORDS else self.most) for w, n in zip(ws, near)]
@@ -224,16 +246,17 @@ class Ranker:
             if mine >= OF_NAME and its >= OF_ENTRY and (score := sqrt(mine * its)) > best[1]:
                 best = m, score
         if not best[0] and len(ws) <= 3 and (m := self._as_string(ws)) is not None:
-            return m, 0.7
-        return best
+            return m[0], 0.7, -float(m[1])
+        return *best, best[1] if best[0] else NONE
 
 
 def entries(metrics: DataFrame, mapped: DataFrame) -> DataFrame:
-    """(metric_id, name, labelled): standard names, synonyms and names mapped by hand."""
+    """(metric_id, name, labelled, n): standard names, synonyms and names mapped by hand, each once, and how often it is given."""
     named = metrics.select("metric_id", F.col("standard_name").alias("name"), F.lit(False).alias("labelled"))
     packed = unpack(metrics, "row_ord", "synonyms").join(metrics.select("row_ord", "metric_id"), "row_ord").select("metric_id", F.col("val").alias("name"), F.lit(False).alias("labelled"))
-    hand = mapped.where(~is_nothing(F.col("raw_term")) & ~is_nothing(F.col("metric_id"))).orderBy("row_ord").limit(LABELLED)
-    return named.unionByName(packed).unionByName(hand.select(stripped(F.col("metric_id")).alias("metric_id"), F.col("raw_term").alias("name"), F.lit(True).alias("labelled")))
+    hand = mapped.where(~is_nothing(F.col("raw_term")) & ~is_nothing(F.col("metric_id")))
+    hand = hand.select(stripped(F.col("metric_id")).alias("metric_id"), F.col("raw_term").alias("name"), F.lit(True).alias("labelled"))
+    return named.unionByName(packed).unionByName(hand).groupBy("metric_id", "name", "labelled").agg(F.count(F.lit(1)).alias("n"))
 
 
 def map_names(names: DataFrame, metrics: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -241,8 +264,8 @@ def map_names(names: DataFrame, metrics: DataFrame, mapped: DataFrame) -> DataFr
     listed = checkpointed(entries(metrics, mapped).withColumn("ws", _tokens("name")))
     typed = checkpointed(names.select("name").where(F.col("name").isNotNull()).distinct().withColumn("ws", _tokens("name")))
     known = listed.where("not labelled").select(F.explode("ws").alias("token")).distinct()
-    every = typed.select(F.explode("ws").alias("token")).unionByName(listed.where("labelled").select(F.explode("ws").alias("token")))
-    words = every.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    every = typed.select(F.explode("ws").alias("token"), F.lit(1).cast("long").alias("n")).unionByName(listed.where("labelled").select(F.explode("ws").alias("token"), "n"))
+    words = every.groupBy("token").agg(F.sum("n").alias("n"))
     mend = checkpointed(repairs(words, known))
 
     def mended(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -250,22 +273,53 @@ def map_names(names: DataFrame, metrics: DataFrame, mapped: DataFrame) -> DataFr
         word = F.coalesce("repaired", "token")
         return one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]).alias("ws"))
 
-    reference = mended(listed, ["metric_id", "name", "labelled"]).select("metric_id", F.array_join("ws", " ").alias("ws"), "labelled")
-    # At most LABELLED rows and the dictionary. A name given to several metrics by hand counts for the one it has most often.
-    rows = reference.groupBy("metric_id", "ws", "labelled").agg(F.count(F.lit(1)).alias("n")).collect()
-    votes: dict[str, Counter] = defaultdict(Counter)
-    for r in rows:
-        votes[r["ws"]][r["metric_id"]] += r["n"] + (0 if r["labelled"] else 1_000_000)
-    chosen = sorted((max(sorted(c), key=c.get), ws.split()) for ws, c in votes.items())
-    shared = names.sparkSession.sparkContext.broadcast(chosen)
+    # A name given to several metrics by hand counts for the one it has most often; the dictionary comes before.
+    votes = mended(listed, ["metric_id", "name", "labelled", "n"]).groupBy("ws", "metric_id").agg(F.sum(F.col("n") + F.when(F.col("labelled"), 0).otherwise(1_000_000)).alias("n"))
+    strong = F.filter("ws", lambda w: ~w.isin(sorted(NOISE)))
+    chosen = votes.groupBy("ws").agg(F.min_by("metric_id", F.struct(-F.col("n"), F.col("metric_id"))).alias("metric_id"))
+    chosen = checkpointed(chosen.withColumn("core", F.when(F.size(strong) > 0, strong).otherwise(F.col("ws"))))
+    # Names equal to an entry, whatever the length of the list.
+    equal = chosen.groupBy(F.array_join("core", "").alias("form")).agg(F.min_by("metric_id", F.struct("metric_id", "ws")).alias("metric_id"))
+    asked = checkpointed(mended(typed, ["name"]))
+    same = asked.select("name", F.posexplode(_forms("ws")).alias("k", "form")).join(small(equal), "form").groupBy("name").agg(F.min_by("metric_id", "k").alias("metric_id"))
+    same = checkpointed(same.withColumn("score", F.lit(1.0)))
+    rest = checkpointed(asked.join(same, "name", "left_anti"))
+    # The others, against the whole list in parts of LABELLED entries; the words' weights are those of the whole list.
+    df = {r["w"]: r["n"] for r in chosen.select("metric_id", F.explode("core").alias("w")).groupBy("w").agg(F.count_distinct("metric_id").alias("n")).collect()}
+    total = chosen.agg(F.count_distinct("metric_id").alias("n")).first()["n"]
+    weights = names.sparkSession.sparkContext.broadcast((df, total))
+    found, last = [], None
+    while part := _part(chosen, last):
+        last = part[-1]
+        found.append(_ranked(rest, weights, part, len(found)))
+    if not found:
+        return same.unionByName(rest.select("name", F.lit("").alias("metric_id"), F.lit(0.0).alias("score")))
+    if len(found) == 1:
+        return same.unionByName(found[0].select("name", "metric_id", "score"))
+    by = F.struct("rank", -F.col("part"))
+    best = reduce(DataFrame.unionByName, map(checkpointed, found)).groupBy("name").agg(F.max_by(F.struct("metric_id", "score"), by).alias("b"))
+    return same.unionByName(best.select("name", "b.metric_id", "b.score"))
+
+
+def _part(chosen: DataFrame, after: tuple[str, list[str]] | None) -> list[tuple[str, list[str]]]:
+    """The next LABELLED entries (metric_id, tokens) in their order."""
+    key = F.struct("metric_id", "ws")
+    rows = chosen if after is None else chosen.where(key > F.struct(F.lit(after[0]).alias("metric_id"), F.array(*map(F.lit, after[1])).alias("ws")))
+    return [(r["metric_id"], list(r["ws"])) for r in rows.orderBy("metric_id", "ws").limit(LABELLED).select("metric_id", "ws").collect()]
+
+
+def _ranked(rest: DataFrame, weights, part: list[tuple[str, list[str]]], number: int) -> DataFrame:
+    """(name, metric_id, score, rank, part) of each name among one part of the entries."""
+    shared = rest.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker = Ranker(shared.value)
+        ranker = Ranker(shared.value, *weights.value)
         for b in batches:
-            ranked = [ranker.rank(ws) for ws in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in ranked], pa.string()), pa.array([s for _, s in ranked], pa.float64())], ["name", "metric_id", "score"])
+            ranked = [ranker.ranked(ws) for ws in b.column(1).to_pylist()]
+            columns = [pa.array([x[k] for x in ranked], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array([number] * len(ranked), pa.int32())], ["name", "metric_id", "score", "rank", "part"])
 
-    return mended(typed, ["name"]).mapInArrow(run, "name string, metric_id string, score double")
+    return rest.select("name", "ws").mapInArrow(run, "name string, metric_id string, score double, rank double, part int")
 
 
 def match(mapping: DataFrame, unmapped: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -49,3 +49,11 @@ def test_abbreviations(short, word, yes):
 def test_a_near_string_is_found_among_many_that_share_more_pieces(name):
     entries = [(f"D{n}", ["z" * (4 + n) + name]) for n in range(12)] + [("M", ["abcdefghijklmnopqrstu"])]
     assert k.Ranker(entries).rank([name])[0] == "M"
+
+
+def test_every_hand_made_entry_counts_whatever_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(k, "LABELLED", 4)
+    mapped = [(f"{w} figure", "M5") for w in ("amber", "birch", "cedar", "dahlia", "elder")] + [("wetness", "M5"), ("wetness", "M4"), ("wetness", "M4"), ("dampness share", "M4")]
+    syn, unm, met = frames(spark, ["wetness", "dampnes share", "dampnessshaer", "share dampness", "nothing known"], mapped)
+    out = {r["row_ord"]: r["metric_id"] for r in k.match(syn, unm.limit(0), met).collect()}
+    assert out == {0: "M4", 1: "M4", 2: "M4", 3: "M4", 4: ""}
