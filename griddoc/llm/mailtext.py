@@ -1,16 +1,19 @@
 """The newly written text of e-mails.
 
 Structure first: header blocks, lines that introduce quotations, quoted and forwarded text, closing formulas and signatures
-are recognised line by line; what is left is cut into sentences. Then content: sentences are fingerprinted with SimHash,
-near-matches are retrieved through tables on pairs of fingerprint blocks and verified by edit distance, so that each
-sentence gets the identity of its group of near-matches; sentences with different figures are no near-matches. A sentence
-that a notable part of all mails ends with is boilerplate; RUN consecutive sentences that an earlier mail held in the same
-order are inherited, whether marked as a quotation or not.
+are recognised line by line. Then content, sentence by sentence, figures apart: each distinct sentence has a SimHash of its
+letter pairs; near-matches are retrieved through tables on pairs of fingerprint blocks and verified by edit distance.
+
+* Boilerplate: a sentence whose near-matches stand in the signed part of other mails, as disclaimers do, at least as often as
+  in the new part; and one that a sender ends many of their mails with.
+* Inherited text: a sentence, figures included, that an earlier mail of someone who takes part in this conversation held; and
+  RUN consecutive sentences that any earlier mail held in the same order, whether marked as a quotation or not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +26,13 @@ from pyspark.sql import types as T
 
 from griddoc.session import checkpointed, small
 
-#: A sentence is boilerplate if it ends at least so many mails and so many of a thousand.
-BOILER_MIN, BOILER_PER_MILLE = 5, 2
-#: Bits in which fingerprints of near-matches may differ, and the edits per hundred letters allowed after that.
-BITS, EDITS_PERCENT = 2, 8
-#: Consecutive sentences shared with an earlier mail that make inherited text; fewer may agree by chance.
+#: Mails in whose signed part a sentence must stand to be boilerplate.
+SIGNED = 2
+#: The same for a sentence that one sender ends mails with, and the part of the sender's mails (one in so many).
+BY_SENDER, SENDER_SHARE = 3, 3
+#: Blocks of the fingerprint, two of which near-matches must share, bits in which they may differ, and edits per hundred letters after that.
+BLOCKS, BITS, EDITS_PERCENT = 8, 12, 8
+#: Consecutive sentences shared with an earlier mail of unknown people that make inherited text; fewer may agree by chance.
 RUN = 3
 _QUOTED = re.compile(r"^\s*[>|]")
 _SEPARATOR = re.compile(r"^\s*-{2,}\s*(original message|forwarded message|forwarded by .*|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message transféré|mensaje original|mensaje reenviado)\s*-{2,}\s*$|^\s*begin forwarded message:?\s*$", re.I)
@@ -46,26 +51,45 @@ _CLOSING = re.compile(
 )
 _POSTSCRIPT = re.compile(r"^\s*(p\.?\s?p?\.?\s?s\b\.?|n\.?b\.)", re.I)
 _DEVICE = re.compile(r"^\s*(sent (?:from|via|with|using) |get (?:the |outlook)|gesendet (?:von|mit)|von meinem .* gesendet|envoyé (?:de|depuis)|enviado desde)", re.I)
-_LEGAL = re.compile(
-    r"intended (?:only )?(?:for|recipient|addressee)|may be confidential|^\s*confidential\b|please delete|notify the sender|registered under (?:number|no)|do(?:es)? not bind|may be monitored|"
-    r"(?:before|consider).{0,40}print|vertraulich|destinataire|destinatario|disclaimer",
-    re.I,
-)
 _CONTACT = re.compile(r"^\s*(?:tel|phone|mobile|mob|fax|t|m|f|e-?mail)\b[.:]?\s*[+\d(]|^\s*\+?[\d ()/\-]{7,}$|^\s*[\w.\-]+@[\w.\-]+\s*$|^\s*(?:www\.|https?://)\S+\s*$", re.I)
 
 
-def new_lines(text: str) -> list[tuple[int, int]]:
-    """(line index, paragraph) of the lines that the structure leaves as newly written."""
+_WROTE = re.compile(r"(?:,\s*|\b(?:um|at|à|las)\s+[\d:h]+\s*(?:schrieb|,)?\s*|^)([^,<>\d:]{3,60}?)\s*(?:<[^<>]*>\s*)?(?:wrote|writes|schrieb|a écrit|escribió)\b", re.I)
+_NAMED = re.compile(r"^\s*[>|\s]*(?:from|to|cc|von|an|de|à|a|para)\s*:\s*(.+)$", re.I)
+
+
+def person(name: str) -> int | None:
+    """A key of a name or address in any writing; None for neither."""
+    bare = re.sub(r"<[^<>]*>|[\"'()]", " ", name)
+    words = sorted(re.findall(r"[^\W\d_]+", (bare if bare.strip() else name).lower()))
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63) if words and len(words) <= 6 else None
+
+
+def _names(listed: str) -> list[str]:
+    """The names of a list; a comma parts names only if there is more than one word, or an address, on each of its sides."""
+    out = []
+    for x in listed.split(";"):
+        each = x.split(",")
+        out += each if all("@" in y or len(y.split()) > 1 for y in each) else [x]
+    return out
+
+
+def parts(text: str) -> tuple[list[tuple[int, int]], list[int], int | None, set[int]]:
+    """Lines as the structure shows them: (line index, paragraph) of those newly written, indices of those of the signed part
+    (signature, disclaimers), the sender, and all who take part in the conversation as far as names show it."""
     lines = text.split("\n")
     n = len(lines)
     out: list[tuple[int, int]] = []
+    signed: list[int] = []
+    sender: int | None = None
+    people: set[int] = set()
     mode, paragraph, header_seen, k = "new", 0, False, 0
     while k < n:
         line = lines[k]
         bare = line.strip()
         if not bare:
             paragraph += 1
-            if mode in ("postscript", "legal"):
+            if mode in ("postscript", "device"):
                 mode = "signed"
             k += 1
             continue
@@ -85,6 +109,7 @@ def new_lines(text: str) -> list[tuple[int, int]]:
                 own = not header_seen and any(map(_TO.match, block)) and not any(map(_DATED.match, block))
                 if not own:
                     break
+                sender = next((person(x.split(":", 1)[1]) for x in block if re.match(r"^\s*(from|von|de)\s*:", x, re.I)), None)
                 header_seen, mode, k = True, "new", end
                 paragraph += 1
                 continue
@@ -100,33 +125,42 @@ def new_lines(text: str) -> list[tuple[int, int]]:
             mode = "signed"
         elif _CLOSING.match(line) and mode != "signed":
             mode = "signed"
+            sender = person(following) if sender is None and len(following.split()) <= 4 else sender
         elif _DEVICE.match(line):
-            mode = "signed" if mode != "new" or not any(x.strip() for x in lines[k + 1 :]) else "legal"
+            mode = "signed" if mode != "new" or not any(x.strip() for x in lines[k + 1 :]) else "device"
         elif mode in ("new", "postscript", "signed") and _POSTSCRIPT.match(line):
             mode = "postscript"
             out.append((k, paragraph))
         elif mode in ("new", "postscript"):
             out.append((k, paragraph))
+        elif mode == "signed" and not _CLOSING.match(line):
+            signed.append(k)
         k += 1
     # A last paragraph of short lines with a telephone number or address is a signature without closing formula.
     if out:
         last = [i for i, p in out if p == out[-1][1]]
         if any(_CONTACT.match(lines[i]) for i in last) and all(len(lines[i].strip()) < 50 and lines[i].strip()[-1] not in ".!?:;," for i in last):
             out = [(i, p) for i, p in out if i not in last]
-    return out
+    for k, line in enumerate(lines):
+        if m := _NAMED.match(line):
+            people |= {person(x) for x in _names(m[1])}
+        elif ":" in line and (m := _WROTE.search(line if _SAYS.match(line.lstrip("> |")) or not k else lines[k - 1].lstrip("> |") + " " + line.lstrip("> |"))):
+            people.add(person(m[1]))
+    people |= {sender}
+    people.discard(None)
+    return out, signed, sender, people
 
 
-def sentences(text: str) -> list[tuple[int, int, str, bool]]:
-    """(first line, last line, letters and figures, whether more follows) of each new sentence or lone line; lines from 1.
+def _cut(lines: list[str], numbered: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(first line, last line, letters and figures) of each sentence or lone line of numbered lines; lines from 1.
 
-    A line that only addresses someone, a list entry and a legal notice each begin a sentence of their own.
+    A line that only addresses someone, a list entry and a line after a finished one each begin a sentence of their own.
     """
-    lines = text.split("\n")
     groups: list[list[int]] = []
     before = None
-    for i, p in new_lines(text):
+    for i, p in numbered:
         bare = lines[i].strip()
-        apart = before is None or p != before[1] or i != before[0] + 1 or re.match(r"^\s*(?:[-*•]|\d+[.)])\s", lines[i]) or _LEGAL.search(bare) or groups and len(groups[-1]) == 1 and lines[groups[-1][0]].rstrip().endswith(",") and len(lines[groups[-1][0]]) < 40 and bare[:1].isupper()
+        apart = before is None or p != before[1] or i != before[0] + 1 or re.match(r"^\s*(?:[-*•]|\d+[.)])\s", lines[i]) or groups and len(groups[-1]) == 1 and lines[groups[-1][0]].rstrip().endswith(",") and len(lines[groups[-1][0]]) < 40 and bare[:1].isupper()
         if apart:
             groups.append([])
         groups[-1].append(i)
@@ -144,51 +178,86 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
                     words = []
         if words:
             out.append((start + 1, g[-1] + 1, " ".join(words)))
-    return [(a, b, " ".join(re.findall(r"[^\W_]+", s.lower())), _LEGAL.search(s) is not None) for a, b, s in out]
+    return [(a, b, " ".join(re.findall(r"[^\W_]+", s.lower()))) for a, b, s in out]
+
+
+def _signed(lines: list[str], indices: list[int]) -> list[str]:
+    """The sentences of the signed part; each of its lines begins one unless the line before fills it and leaves a sentence open."""
+    paragraph, numbered = 0, []
+    for i in indices:
+        if numbered and (i != numbered[-1][0] + 1 or lines[i - 1].rstrip()[-1:] in ".!?" or len(lines[i - 1]) < 45):
+            paragraph += 1
+        numbered.append((i, paragraph))
+    return [s for _, _, s in _cut(lines, numbered)]
+
+
+def sentences(text: str) -> tuple[list[tuple[int, int, str]], list[str], int | None, set[int]]:
+    """The new sentences of a mail, as _cut gives them, those of its signed part, the sender and the people of the conversation."""
+    lines = text.split("\n")
+    new, signed, sender, people = parts(text)
+    return _cut(lines, new), _signed(lines, signed), sender, people
 
 
 _MAIL = "coalesce(regexp_replace(lower(doc_type), '[^a-z]', '') in ('rawemail', 'email'), false) or coalesce(lower(file_name) rlike '[.](eml|msg)$', false)"
+_UNIT = "seg_id long, file_name string, at long, pos int, left int, first int, last int, words string, figures long, sender long, people array<long>, run long"
+
+
+def _masked(words: str) -> tuple[str, int]:
+    """The sentence with figures masked, and a key of the figures."""
+    return re.sub(r"\d+", "0", words), xxhash.xxh64_intdigest(" ".join(re.findall(r"\d+", words))) - (1 << 63)
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """(seg_id, file_name, at, pos, left, first, last, words, legal): the new sentences of every mail among rows; left counts from the end, from 1."""
-    names = ["seg_id", "file_name", "at", "pos", "left", "first", "last", "words", "legal"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+    """The sentences of every mail among rows, as _UNIT says.
+
+    first is null for sentences of the signed part. left counts from the end, from 1. words has its figures masked, figures is
+    their key. run is a key of the RUN new sentences of three words or more that begin with this one.
+    """
+    fields = T.StructType.fromDDL(_UNIT)
+    schema = pa.schema([pa.field(f.name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(f.dataType.simpleString().replace("bigint", "long"), pa.list_(pa.int64()))) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, f, at, t in zip(*(c.to_pylist() for c in b.columns)):
-                found = sentences(t)
-                out += [(i, f, at, k, len(found) - k, *s) for k, s in enumerate(found)]
+                new, signed, sender, people = sentences(t)
+                found = [(a, z, *_masked(w)) for a, z, w in new]
+                keys = [xxhash.xxh64_intdigest(w + str(g)) if w.count(" ") >= 2 else None for _, _, w, g in found]
+                for k, s in enumerate(found):
+                    following = keys[k : k + RUN]
+                    key = hash((RUN, *following)) if len(following) == RUN and None not in following else None
+                    out.append((i, f, at, k, len(found) - k, *s, sender, sorted(people), key))
+                out += [(i, f, at, None, None, None, None, *_masked(w), sender, None, None) for w in signed]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), x.type) for c, x in zip(zip(*out), schema)], schema=schema)
 
     at = F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(0)).alias("at")
     mails = rows.where(_MAIL).where(F.trim("text") != "").select(F.col("seg_id").cast("long"), F.coalesce("file_name", F.concat(F.lit("\x00"), F.col("seg_id").cast("string"))), at, "text")
-    return mails.mapInArrow(run, "seg_id long, file_name string, at long, pos int, left int, first int, last int, words string, legal boolean")
+    return mails.mapInArrow(run, _UNIT)
+
+
+_bits: dict[str, np.ndarray] = {}
+
+
+def _pair_bits(pair: str) -> np.ndarray:
+    """The 64 bits of a letter pair's hash, as 1 and -1."""
+    if (v := _bits.get(pair)) is None:
+        if len(_bits) > 50_000:
+            _bits.clear()
+        h = np.uint64(xxhash.xxh64_intdigest(pair))
+        v = _bits[pair] = ((h >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
+    return v
 
 
 def simhash(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash over the pairs of consecutive words of each text."""
-    pairs = []
-    sizes = []
-    known: dict[str, int] = {}
-    for t in texts:
-        ws = t.split() or [""]
-        feats = [a + " " + b for a, b in zip(ws, ws[1:])] or ws
-        for x in feats:
-            if x not in known:
-                known[x] = xxhash.xxh64_intdigest(x)
-            pairs.append(known[x])
-        sizes.append(len(feats))
-    h = np.array(pairs, np.uint64)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
-    half = np.array(sizes) / 2
+    """64-bit SimHash over the pairs of neighbouring letters of each text."""
     out = np.zeros(len(texts), np.uint64)
-    for b in range(64):
-        ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32), starts)
-        out |= (ones > half).astype(np.uint64) << np.uint64(b)
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for k, t in enumerate(texts):
+        t = f" {t} "
+        counts = Counter(map("".join, zip(t, t[1:])))
+        total = np.array(list(counts.values()), np.int32) @ np.stack([_pair_bits(p) for p in counts]).astype(np.int32)
+        out[k] = weight[total > 0].sum(dtype=np.uint64)
     return out.view(np.int64)
 
 
@@ -197,25 +266,77 @@ def _simhash(words: pd.Series) -> pd.Series:
     return pd.Series(simhash(words.tolist()) if len(words) else [], dtype="int64")
 
 
-def groups(distinct: DataFrame) -> DataFrame:
-    """(id, group) of the sentences (id, words) that have an earlier near-match; group is the least id among the near-matches.
+def _tables(rows: DataFrame) -> DataFrame:
+    """rows with a column key for each pair of the BLOCKS blocks of their fingerprint f: each row once per table."""
+    ends = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    block = [F.shiftrightunsigned("f", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:])]
+    keys = [F.shiftleft(F.shiftleft(block[i], 11).bitwiseOR(block[j]), 8).bitwiseOR(F.lit(i * BLOCKS + j).cast("long")) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+    return rows.withColumn("key", F.explode(F.array(*keys)))
+
 
-    Fingerprints that differ in at most BITS = 2 of four blocks' bits agree in at least two whole blocks, so every near-match
-    stands under a common key in one of the six tables.
+def near(asked: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """(the columns by, id, other): for each sentence of asked (by, id, words) its near-matches of held (by, other, words) under equal by.
+
+    Fingerprints that differ in few bits mostly agree in two whole blocks of BLOCKS, so a near-match stands under a common key
+    in one of the tables; it is verified by its edit distance. The sentence itself is a near-match.
     """
-    f = checkpointed(distinct.withColumn("f", _simhash("words")))
-    block = [F.shiftrightunsigned("f", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = [F.struct(F.lit(10 * i + j).alias("t"), (block[i] * 65536 + block[j]).alias("k")) for i in range(4) for j in range(i + 1, 4)]
-    tables = f.select("id", "f", F.explode(F.array(*keys)).alias("key")).select("id", "f", "key.t", "key.k")
-    a, b = tables.alias("a"), tables.alias("b")
-    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") > F.col("b.id")) & (F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= BITS)
-    pairs = a.join(b, near).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    mine, its = f.select("id", "words"), f.select(F.col("id").alias("other"), F.col("words").alias("its"))
+    a = _tables(asked.select(*by, "id", _simhash("words").alias("f"))).withColumnRenamed("f", "fa")
+    b = _tables(held.select(*by, "other", _simhash("words").alias("f"))).withColumnRenamed("f", "fb")
+    pairs = a.join(b, [*by, "key"]).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= BITS).select(*by, "id", "other").distinct()
+    mine, its = asked.select(*by, "id", "words"), held.select(*by, "other", F.col("words").alias("its"))
     edits = F.levenshtein("words", "its")
-    figures = [F.regexp_replace(c, "[^0-9]+", " ") for c in ("words", "its")]
-    alike = (figures[0] == figures[1]) & (edits * 100 <= EDITS_PERCENT * F.greatest(F.length("words"), F.length("its")))
-    verified = pairs.join(mine, "id").join(its, "other").where(alike)
-    return verified.groupBy("id").agg(F.min("other").alias("group"))
+    alike = edits * 100 <= EDITS_PERCENT * F.greatest(F.length("words"), F.length("its"))
+    return pairs.join(mine, [*by, "id"]).join(its, [*by, "other"]).where(alike).select(*by, "id", "other")
+
+
+def boilerplate(u: DataFrame) -> DataFrame:
+    """id of the sentences among units that are boilerplate of the corpus.
+
+    Each mail file counts once. What stands in the signed part is known for certain; a new sentence is boilerplate if it or a
+    near-match stands there in SIGNED mails or more, and in as many as it stands elsewhere.
+    """
+    each = u.select("id", "words", "file_name", F.col("first").isNull().alias("signed")).distinct()
+    counts = each.groupBy("id").agg(F.first("words").alias("words"), F.count_if("signed").alias("s"), F.count_if(~F.col("signed")).alias("n"))
+    counts = checkpointed(counts)
+    held = counts.where(F.col("s") >= SIGNED).select(F.col("id").alias("other"), "words", F.col("s").alias("held"))
+    asked = counts.where("n > 0").select("id", "words", "n")
+    found = near(asked.select("id", "words"), small(checkpointed(held)), []).join(held.select("other", "held"), "other").join(asked.select("id", "n"), "id")
+    return found.where(F.col("held") >= F.col("n")).select("id").distinct()
+
+
+def by_sender(u: DataFrame) -> DataFrame:
+    """(origin, id, figures) of the sentences that a sender, or who writes files of one name but for figures, ends mails with: BY_SENDER mails or more, one in SENDER_SHARE of them, nine times in ten near the end."""
+    mine = u.where("first is not null")
+    mails = mine.groupBy("origin").agg(F.count_distinct("file_name").alias("mails")).where(F.col("mails") >= BY_SENDER)
+    each = mine.groupBy("origin", "id", "figures", "file_name").agg(F.min("left").alias("left"))
+    often = each.groupBy("origin", "id", "figures").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("left") <= 2).alias("late")).where((F.col("n") >= BY_SENDER) & (F.col("late") * 10 >= F.col("n") * 9))
+    return often.join(mails, "origin").where(F.col("n") * SENDER_SHARE >= F.col("mails")).select("origin", "id", "figures")
+
+
+def inherited(u: DataFrame) -> DataFrame:
+    """(seg_id, pos) of the new sentences among units that an earlier mail of the conversation held, or an earlier mail in a run.
+
+    Mails of one file_name are one mail. Only people with mails in several files are looked up, and for each of their
+    sentences only its earliest mail counts.
+    """
+    new = u.where("first is not null")
+    said = new.where("sender is not null").select(F.col("sender").alias("person"), "figures", F.col("id").alias("other"), "words", "at", "file_name")
+    asks = new.select(F.explode("people").alias("person"), "figures", "id", "words", "at", "file_name", "seg_id", "pos")
+    files = asks.groupBy("person").agg(F.min("file_name").alias("lo"), F.max("file_name").alias("hi")).where("lo <> hi").select("person")
+    files = small(checkpointed(files.join(said.select("person").distinct(), "person", "left_semi")))
+    asks = checkpointed(asks.join(files, "person", "left_semi"))
+    held = said.join(files, "person", "left_semi").groupBy("person", "figures", "other").agg(F.min(F.struct("at", "file_name")).alias("o"), F.first("words").alias("words"))
+    held = checkpointed(held)
+    by = ["person", "figures"]
+    pairs = near(asks.select(*by, "id", "words").distinct(), held.select(*by, "other", "words"), by)
+    first = pairs.join(held.select(*by, "other", "o"), [*by, "other"])
+    alone = asks.join(first, [*by, "id"]).where((F.col("o.at") < F.col("at")) & (F.col("o.file_name") != F.col("file_name"))).select("seg_id", "pos")
+    runs = new.where("run is not null").select("seg_id", "file_name", "at", "pos", "run")
+    begun = runs.groupBy("run").agg(F.min(F.struct("at", "file_name")).alias("o"), F.min("file_name").alias("lo"), F.max("file_name").alias("hi")).where("lo <> hi").select("run", "o")
+    late = runs.join(small(checkpointed(begun)), "run").where((F.col("o.file_name") != F.col("file_name")) & (F.col("o.at") < F.col("at")))
+    long = new.where(F.size(F.split("words", " ")) >= 3).select("seg_id", "pos")
+    in_runs = late.select("seg_id", F.explode(F.sequence("pos", F.col("pos") + RUN - 1)).alias("pos"))
+    return alone.unionByName(in_runs).distinct().join(long, ["seg_id", "pos"], "left_semi")
 
 
 def written(rows: DataFrame) -> DataFrame:
@@ -224,25 +345,10 @@ def written(rows: DataFrame) -> DataFrame:
     Null, empty and blank texts have no row; a second delivery of a mail (the same file_name) inherits nothing from the
     first; rows that are no mails are left out; other columns are ignored.
     """
-    u = checkpointed(units(rows).withColumn("id", F.xxhash64("words")))
-    mails = u.agg(F.count_distinct("seg_id").alias("n")).first()["n"]
-    long = u.where(F.size(F.split("words", " ")) >= 3)
-    distinct = long.groupBy("id").agg(F.first("words").alias("words"))
-    same = small(checkpointed(groups(distinct)))
-    g = u.join(same, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    g = checkpointed(g.select("seg_id", "file_name", "at", "pos", "left", "first", "last", "group", "legal", (F.size(F.split("words", " ")) >= 3).alias("long")))
-    often = max(BOILER_MIN, mails * BOILER_PER_MILLE // 1000)
-    late_in = F.sum((F.col("left") <= 2).cast("int"))
-    boiler = g.where("long").groupBy("group").agg(F.count_distinct("file_name").alias("n"), F.count(F.lit(1)).alias("all"), late_in.alias("late"))
-    boiler = checkpointed(boiler.where((F.col("n") >= often) & (F.col("late") * 10 >= F.col("all") * 9)).select("group", F.lit(True).alias("boiler")))
-    run = g.where("long").join(small(boiler), "group", "left_anti").select("seg_id", "file_name", "at", "pos", "group")
-    # A run is named by its first position; each row offers itself to the runs that begin at it and at the two positions before.
-    at = F.explode(F.array(*(F.struct((F.col("pos") - k).alias("start"), F.struct(F.lit(k).alias("k"), F.col("group")).alias("g")) for k in range(RUN)))).alias("x")
-    runs = run.select("seg_id", "file_name", "at", at).groupBy("seg_id", "file_name", "at", "x.start").agg(F.sort_array(F.collect_list("x.g")).alias("gs"))
-    runs = runs.where(F.size("gs") == RUN).select("seg_id", "file_name", "at", "start", F.xxhash64(F.col("gs.group")).alias("run"))
-    first = runs.groupBy("run").agg(F.min(F.struct("at", "file_name")).alias("o"), F.min("file_name").alias("lo"), F.max("file_name").alias("hi")).where("lo <> hi").select("run", "o")
-    late = runs.join(first, "run").where((F.col("o.file_name") != F.col("file_name")) & (F.col("o.at") < F.col("at")))
-    inherited = late.select("seg_id", F.explode(F.sequence("start", F.col("start") + RUN - 1)).alias("pos")).distinct().withColumn("inherited", F.lit(True))
-    kept = g.join(small(boiler), "group", "left").join(small(checkpointed(inherited)), ["seg_id", "pos"], "left")
-    kept = kept.where("not legal and boiler is null and inherited is null")
-    return kept.select("seg_id", F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
+    every = checkpointed(units(rows).withColumn("id", F.xxhash64("words")).withColumn("origin", F.coalesce("sender", F.xxhash64(F.regexp_replace("file_name", "[0-9]+", "0")))))
+    u = every.where(F.size(F.split("words", " ")) >= 3)
+    boiler = small(checkpointed(boilerplate(u)))
+    own = small(checkpointed(by_sender(u)))
+    taken = small(checkpointed(inherited(u)))
+    new = every.where("first is not null").join(boiler, "id", "left_anti").join(own, ["origin", "id", "figures"], "left_anti").join(taken, ["seg_id", "pos"], "left_anti")
+    return new.select("seg_id", F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
