@@ -44,6 +44,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, which must be cheap to count, has at most that many rows; otherwise df as it is, left to Catalyst."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A broadcast hint if df, which must be cheap to count, has at most that many rows (BROADCAST_ROWS if not given); otherwise df as it is, left to Catalyst."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
