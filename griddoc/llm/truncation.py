@@ -1,8 +1,10 @@
 """Texts cut off by a limit of their source or in transfer.
 
-Length evidence. For every source and unit (characters, bytes) the length that most texts share is a candidate limit. A
-log-normal distribution of lengths is fitted by maximum likelihood with the texts at the candidate right-censored; the
-posterior that a text at the candidate was cut is the part of those texts that the fitted density does not explain.
+Length evidence. For every source and unit (characters, bytes) each length that far more texts share than its neighbours and
+a first fit lead to expect is a candidate limit; a source may have several. A log-normal distribution of lengths is fitted by
+maximum likelihood with the texts at all candidates right-censored there; the posterior that a text at a candidate was cut is
+the part of those texts that neither the fitted density nor the neighbouring lengths explain. It depends on the shape of the
+histogram, not on the size of the corpus.
 
 Ending evidence. A text without sentence end is unfinished only if what stands after its last sentence end is the start
 of a sentence. That is learned from all texts: of the pieces that begin with the same word, how many end as sentences do;
@@ -23,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from griddoc.session import checkpointed, small
 
-#: Texts that must share a length before it is a candidate limit.
-MIN_AT_LIMIT = 3
+#: Texts that must share a length before it is a candidate limit, and how many times as many as expected.
+MIN_AT_LIMIT, TIMES = 3, 2
+#: Lengths compared with a candidate lie from FAR to NEAR away on both sides; a cut by bytes may leave up to three bytes unused.
+NEAR, FAR = 4, 16
 #: Log-odds of a cut in transfer where no limit explains the length, and of marks of omission there, which authors also use.
 TRANSFER, OMISSION = -1.0, -6.0
 #: Pieces counted per worker before they are passed on.
@@ -120,56 +125,81 @@ def piece_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
 
 
-def _cut_share(n: float, s1: float, s2: float, at: float, limit: float, sizes: float) -> float:
-    """Posterior that a text at the limit was cut.
-
-    It is the part of the texts there that the censored log-normal does not explain, times the probability that so many of
-    them are no chance, given that the limit was picked among that many sizes.
-    """
-    c = math.log(limit)
-    if n < 2:
+def _log_tail(at: float, expected: float) -> float:
+    """Logarithm of (a bound for) the probability that a Poisson count reaches at; its first term times a geometric series."""
+    if at <= expected:
         return 0.0
-    mean = s1 / n
-    sd = math.sqrt(max(s2 / n - mean * mean, 1e-4))
+    first = at * math.log(expected) - expected - math.lgamma(at + 1)
+    return min(0.0, first - math.log1p(-expected / (at + 1)))
+
+
+def fit(n: float, s1: float, s2: float, limits: list[tuple[float, float]]) -> tuple[float, float]:
+    """Mean and deviation of the log lengths: n whole texts with sums s1, s2 of the logs and of their squares, and for each of
+    limits (log length, texts) texts that are at least that long."""
+    known = max(n, 1)
+    mean = s1 / known if n else limits[0][0]
+    sd = math.sqrt(max(s2 / known - mean * mean, 1e-4))
+    total = n + sum(at for _, at in limits)
     for _ in range(200):
-        z = (c - mean) / sd
-        tail = max(0.5 * math.erfc(z / math.sqrt(2)), 1e-12)
-        mills = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
-        e1 = mean + sd * mills
-        e2 = mean * mean + sd * sd + sd * (c + mean) * mills
-        m = (s1 + at * e1) / (n + at)
-        v = math.sqrt(max((s2 + at * e2) / (n + at) - m * m, 1e-4))
+        m1, m2 = s1, s2
+        for c, at in limits:
+            z = (c - mean) / sd
+            # Beyond 30 deviations the mean excess of a normal tail is that of an exponential one.
+            mills = z + 1 / z if z > 30 else math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)
+            m1 += at * (mean + sd * mills)
+            m2 += at * (mean * mean + sd * sd + sd * (c + mean) * mills)
+        m = m1 / total
+        v = math.sqrt(max(m2 / total - m * m, 1e-4))
         done = abs(m - mean) + abs(v - sd) < 1e-7
         mean, sd = m, v
         if done:
             break
-    density = math.exp(-(((c - mean) / sd) ** 2) / 2) / (sd * math.sqrt(2 * math.pi) * limit)
-    expected = max((n + at) * density, 1e-9)
-    below, term = 0.0, math.exp(-expected)
-    for k in range(int(at)):
-        below += term
-        term *= expected / (k + 1)
-    chance = max(0.0, 1 - below) * sizes
-    return max(0.0, 1 - expected / at) / (1 + chance)
+    return mean, sd
+
+
+def cut_shares(n: float, s1: float, s2: float, found: list[tuple[int, float, float]], sizes: float) -> list[float]:
+    """Posterior that a text at each candidate limit was cut. found: (limit, texts there, texts its neighbours lead to expect).
+
+    It is the part of the texts there that the censored log-normal and the neighbours do not explain, times the probability
+    that so many of them are no chance, given that the limit was picked among that many sizes.
+    """
+    if n < 2 or not found:
+        return [0.0] * len(found)
+    mean, sd = fit(n, s1, s2, [(math.log(limit), at) for limit, at, _ in found])
+    total, out = n + sum(at for _, at, _ in found), []
+    for limit, at, near in found:
+        z = (math.log(limit) - mean) / sd
+        expected = max(total * math.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi) * limit), near, 1e-9)
+        chance = math.exp(min(_log_tail(at, expected) + math.log(sizes), 50.0))
+        out.append(max(0.0, 1 - expected / at) / (1 + chance))
+    return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _posterior(n: pd.Series, s1: pd.Series, s2: pd.Series, at: pd.Series, limit: pd.Series, sizes: pd.Series) -> pd.Series:
-    return pd.Series([_cut_share(*map(float, x)) for x in zip(n, s1, s2, at, limit, sizes)], dtype=float)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _posteriors(n: pd.Series, s1: pd.Series, s2: pd.Series, size: pd.Series, at: pd.Series, near: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([cut_shares(float(a), float(b), float(c), list(zip(x, y, z)), float(k)) for a, b, c, x, y, z, k in zip(n, s1, s2, size, at, near, sizes)], dtype=object)
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """(source, unit, limit, posterior) of the candidate limit of each source and unit; copies of a text count once."""
+    """(source, unit, limit, posterior) of each candidate limit of each source and unit; copies of a text count once."""
     size = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size"))))
     counts = ends.select("source", "chars", "bytes", "hash").distinct().select("source", size.alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count(F.lit(1)).alias("n"))
-    log = F.log(F.col("size").cast("double"))
-    sums = counts.groupBy("source", "unit").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * log).alias("s1"), F.sum(F.col("n") * log * log).alias("s2"), F.max(F.struct("n", "size")).alias("top"), F.count(F.lit(1)).alias("sizes")
-    )
-    at, limit = F.col("top.n"), F.col("top.size")
-    c = F.log(limit.cast("double"))
-    fit = _posterior(F.col("n") - at, F.col("s1") - at * c, F.col("s2") - at * c * c, at, limit, F.col("sizes"))
-    return sums.where(at >= MIN_AT_LIMIT).select("source", "unit", limit.alias("limit"), fit.alias("posterior"))
+    by = W.partitionBy("source", "unit")
+    log, total = F.log(F.col("size").cast("double")), F.sum("n").over(by)
+    mean = F.sum(F.col("n") * log).over(by) / total
+    spread = F.sqrt(F.greatest(F.sum(F.col("n") * log * log).over(by) / total - mean * mean, F.lit(1e-4)))
+    aside = lambda a, b: F.coalesce(F.sum("n").over(by.orderBy("size").rangeBetween(a, b)), F.lit(0))
+    near = (aside(-FAR, -NEAR) + aside(NEAR, FAR)) / F.lit(2.0 * (FAR - NEAR + 1))
+    first = total * F.exp(-(((log - mean) / spread) ** 2) / 2) / (spread * math.sqrt(2 * math.pi) * F.col("size"))
+    marked = counts.select("source", "unit", "size", "n", near.alias("near"), first.alias("first"), log.alias("log"))
+    is_limit = (F.col("n") >= MIN_AT_LIMIT) & (F.col("n") >= TIMES * F.greatest("near", "first"))
+    marked = marked.withColumn("limit", is_limit)
+    whole, k = F.when(~F.col("limit"), F.col("n")).otherwise(0), F.struct("size", F.col("n").cast("double").alias("at"), "near")
+    sums = marked.groupBy("source", "unit").agg(F.sum(whole).alias("n"), F.sum(whole * F.col("log")).alias("s1"), F.sum(whole * F.col("log") ** 2).alias("s2"), F.array_sort(F.collect_list(F.when(F.col("limit"), k))).alias("found"), F.count(F.lit(1)).alias("sizes"))
+    sums = sums.where(F.size("found") > 0)
+    got = sums.select("source", "unit", "found", _posteriors("n", "s1", "s2", F.col("found.size"), F.col("found.at"), F.col("found.near"), "sizes").alias("p"))
+    each = got.select("source", "unit", F.explode(F.arrays_zip("found", "p")).alias("x"))
+    return each.select("source", "unit", F.col("x.found.size").alias("limit"), F.col("x.p").alias("posterior")).where("posterior > 0")
 
 
 def _odds(p):
@@ -182,12 +212,13 @@ def scored(docs: DataFrame) -> DataFrame:
     A null source is a source of its own; texts of any length are read whole; repeated rows each have a score.
     """
     ends = checkpointed(_endings(docs))
-    found = limits(ends).groupBy("source").pivot("unit", ["chars", "bytes"]).agg(F.first("limit").alias("limit"), F.first("posterior").alias("posterior"))
-    found = small(checkpointed(found)).alias("l")
+    found = checkpointed(limits(ends))
+    chars = small(found.where("unit = 'chars'").select(F.col("source").alias("cs"), F.col("limit").alias("chars_at"), F.col("posterior").alias("by_chars")))
     # A cut by bytes never splits a character, so up to three bytes may be missing.
-    by_chars = F.when(F.col("chars") == F.col("chars_limit"), F.col("chars_posterior"))
-    by_bytes = F.when((F.col("bytes") <= F.col("bytes_limit")) & (F.col("bytes") > F.col("bytes_limit") - 4), F.col("bytes_posterior"))
-    e = ends.alias("e").join(found, F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.*", F.greatest(by_chars, by_bytes).alias("posterior"))
+    spare = found.where("unit = 'bytes'").select(F.col("source").alias("bs"), F.explode(F.sequence(F.col("limit") - 3, F.col("limit"))).alias("bytes_at"), "posterior")
+    spare = small(spare.groupBy("bs", "bytes_at").agg(F.max("posterior").alias("by_bytes")))
+    e = ends.join(chars, F.col("source").eqNullSafe(F.col("cs")) & (F.col("chars") == F.col("chars_at")), "left")
+    e = e.join(spare, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bytes") == F.col("bytes_at")), "left").select(*ends.columns, F.greatest("by_chars", "by_bytes").alias("posterior"))
     counts = small(checkpointed(piece_counts(docs)))
     share = F.col("hits") / F.col("n")
     first = counts.where("kind = 'first'").select(F.col("key").alias("opener"), share.alias("p_first"))

@@ -47,11 +47,41 @@ def test_endings(text, state):
     assert k.ending(text)[0] == state
 
 
+def logs(sizes):
+    x = [math.log(s) for s in sizes]
+    return len(x), sum(x), sum(v * v for v in x)
+
+
 def test_fit_recovers_a_censored_distribution():
     rng = random.Random(2)
     sizes = [math.exp(rng.gauss(6.5, 0.5)) for _ in range(4000)]
     limit = 800
-    kept = [math.log(s) for s in sizes if s < limit]
-    p = k._cut_share(len(kept), sum(kept), sum(x * x for x in kept), sum(s >= limit for s in sizes), limit, 800)
-    assert p > 0.98
-    assert k._cut_share(1000, 6500.0, 42500.0, 3, 700, 900) < 0.6
+    n, s1, s2 = logs(s for s in sizes if s < limit)
+    at = sum(s >= limit for s in sizes)
+    assert k.cut_shares(n, s1, s2, [(limit, at, 3.0)], 800)[0] > 0.98
+    mean, sd = k.fit(n, s1, s2, [(math.log(limit), at)])
+    assert abs(mean - 6.5) < 0.05 and abs(sd - 0.5) < 0.05
+    assert k.cut_shares(1000, 6500.0, 42500.0, [(700, 3, 1.0)], 900)[0] < 0.6
+    assert k.cut_shares(0, 0.0, 0.0, [(700, 3, 1.0)], 1) == [0.0] and k.cut_shares(10, 60.0, 370.0, [], 5) == []
+
+
+@pytest.mark.parametrize("times", [1, 1_000, 1_000_000, 1_000_000_000])
+def test_posterior_does_not_depend_on_the_size_of_the_corpus(times):
+    rng = random.Random(4)
+    sizes = [math.exp(rng.gauss(6.5, 0.5)) for _ in range(4000)]
+    n, s1, s2 = logs(s for s in sizes if s < 800)
+    assert k.cut_shares(n * times, s1 * times, s2 * times, [(800, 1500.0 * times, 3.0 * times)], 800)[0] > 0.98
+    assert k.cut_shares(n * times, s1 * times, s2 * times, [(400, 6.0 * times, 5.0 * times)], 800)[0] < 0.2
+
+
+def test_two_limits_of_one_source(spark):
+    """A field that was 300 long and became 500 long, beside a source without any."""
+    rng, rows = random.Random(3), []
+    for n in range(1500):
+        size = int(math.exp(rng.gauss(5.8, 0.5)))
+        size = min(size, 300 if n % 3 == 0 else 500)
+        rows += [("a", size, size, n), ("b", int(math.exp(rng.gauss(5.8, 0.5))), 7000 + n, n)]
+    ends = spark.createDataFrame(rows, "source string, chars int, bytes int, hash long")
+    got = {(r["source"], r["unit"], r["limit"]): r["posterior"] for r in k.limits(ends).collect()}
+    assert got["a", "chars", 300] > 0.9 and got["a", "chars", 500] > 0.9
+    assert all(p < 0.9 for (s, _, size), p in got.items() if s == "b" or size not in (300, 500))
