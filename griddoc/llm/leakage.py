@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from griddoc import session
 from griddoc.session import checkpointed, small
 
 RUN = 12
@@ -54,8 +55,8 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def fingerprints(ws: list[str]) -> np.ndarray:
-    """MinHash signature of each window of RUN words, as one number, without repetition; none for fewer words."""
+def signatures(ws: list[str]) -> np.ndarray:
+    """MinHash signature of each window of RUN words, as one number, in order; none for fewer words."""
     if len(ws) < RUN:
         return np.empty(0, np.int64)
     h = np.fromiter(map(_hash, ws), np.uint64, len(ws))
@@ -68,7 +69,12 @@ def fingerprints(ws: list[str]) -> np.ndarray:
         x = (s ^ (s >> np.uint64(31 - 2 * k))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
         x ^= x >> np.uint64(29)
         out = out * np.uint64(0x94D049BB133111EB) + _least(x, RUN - SHINGLE + 1)
-    return np.unique(out).view(np.int64)
+    return out.view(np.int64)
+
+
+def fingerprints(ws: list[str]) -> np.ndarray:
+    """The distinct signatures."""
+    return np.unique(signatures(ws))
 
 
 def _marks(rows: DataFrame, key: str) -> DataFrame:
@@ -97,9 +103,52 @@ def _leaks(item: pd.Series, doc: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def candidates(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (item_id, doc_id) with a window's MinHash in common."""
-    marks = small(checkpointed(_marks(items, "item_id").distinct()))
+def _windows(items: DataFrame) -> DataFrame:
+    """(item_id, mark, window): the windows of each item and their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, marks, texts = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words(t)
+                found = signatures(ws).tolist()
+                ids += [i] * len(found)
+                marks += found
+                texts += [" ".join(ws[k : k + RUN]) for k in range(len(found))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(texts, pa.string())], ["item_id", "mark", "window"])
+
+    return items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, mark long, window string").distinct()
+
+
+def _at_scan(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): search and verification in one pass over the documents, which holds all windows of the items."""
+    held: dict[str, list[int]] = {}
+    marks = []
+    for r in windows.toLocalIterator():
+        held.setdefault(r["window"], []).append(r["item_id"])
+        marks.append(r["mark"])
+    shared = docs.sparkSession.sparkContext.broadcast((np.unique(np.array(marks, np.int64)), held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, by_window = shared.value
+        for b in batches:
+            pairs = set()
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words(t)
+                found = signatures(ws)
+                if not len(known) or not len(found):
+                    continue
+                near = known[np.searchsorted(known, found).clip(max=len(known) - 1)] == found
+                for k in np.flatnonzero(near).tolist():
+                    pairs |= {(item, i) for item in by_window.get(" ".join(ws[k : k + RUN]), ())}
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*pairs)], ["item_id", "doc_id"])
+
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "item_id long, doc_id long").distinct()
+
+
+def candidates(marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id) with a window's MinHash (mark) in common."""
     return _marks(docs, "doc_id").join(marks, "mark").select("item_id", "doc_id").distinct()
 
 
@@ -107,9 +156,14 @@ def leaks(items: DataFrame, docs: DataFrame) -> DataFrame:
     """Every pair (item_id, doc_id) of which RUN consecutive words are shared.
 
     items: item_id, text; docs: doc_id, text; other columns are ignored. Null, empty and short texts share nothing; repeated
-    ids give the pair once; empty tables give no row.
+    ids give the pair once; empty tables give no row. Up to BROADCAST_ROWS windows of items are held by each worker, so the
+    documents are read once and never shuffled; beyond, signatures are joined, and only texts of candidates are.
     """
-    pairs = checkpointed(candidates(items, docs))
+    windows = checkpointed(_windows(items))
+    if windows.limit(session.BROADCAST_ROWS + 1).count() <= session.BROADCAST_ROWS:
+        return _at_scan(windows, docs)
+    pairs = checkpointed(candidates(windows.select("item_id", "mark").distinct(), docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc_text"))
+    texts = texts.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
     return pairs.join(wanted, "item_id").join(texts, "doc_id").where(_leaks("item_text", "doc_text")).select("item_id", "doc_id").distinct()

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from griddoc.llm import leakage as k
 
 
@@ -17,7 +19,9 @@ def brute(items, docs):
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("held", [200_000, 0])
+def test_equals_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr("griddoc.session.BROADCAST_ROWS", held)
     rng = random.Random(6)
     vocab = [f"w{n}" for n in range(30)]
     items = [(n, " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 40)))) for n in range(20)] + [(98, None), (99, "")]
