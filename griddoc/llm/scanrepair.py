@@ -209,9 +209,9 @@ def page_places(text: str, common: set[str]) -> tuple[list, list, list]:
                 k0 += 1
                 continue
             if w not in common and any(c.isalpha() or c in "@!|$" for c in w):
-                words.append((k + 1, w, None, False))
-                if w[-1] == "!" and len(w) > 2:
-                    words[-1] = (k + 1, w[:-1], None, False) if w[:-1] in common else words[-1]
+                # A word of which only the exclamation mark may be misread is left to the look-up, unless its other letters are a common word.
+                if not (w[-1] == "!" and len(w) > 2 and w[:-1] in common):
+                    words.append((k + 1, w, None, False))
     return edges, numbers, words
 
 
@@ -280,13 +280,16 @@ def damaged(rows: DataFrame) -> DataFrame:
     counts = checkpointed(word_counts(rows))
     total = counts.agg(F.sum("other").alias("o"), F.sum("scans").alias("s")).first()
     rate = (total["o"] or 0) / max(total["s"] or 0, 1)
-    good = counts.where((F.col("other") >= SURE) & (F.col("other") >= RARE * rate * F.col("scans")))
-    shared = rows.sparkSession.sparkContext.broadcast({r["word"] for r in good.orderBy(F.col("other").desc()).limit(COMMON).select("word").collect()})
+    good = counts.where((F.col("other") >= SURE) & (F.col("other") >= RARE * rate * F.greatest("scans", F.lit(1)))).select("word", "other")
+    shared = rows.sparkSession.sparkContext.broadcast({r["word"] for r in good.orderBy(F.col("other").desc(), "word").limit(COMMON).select("word").collect()})
     places = checkpointed(_places(rows, shared))
     lines = running_lines(places.where("kind = 'edge'")).unionByName(places.where("kind = 'number'").select("seg_id", "line_no"))
     lines = checkpointed(lines.distinct())
     words = places.where("kind in ('word', 'parted', 'inline')").join(lines, ["seg_id", "line_no"], "left_anti")
-    forms = checkpointed(words.groupBy("form", "other").agg(F.count(F.lit(1)).alias("n")))
+    forms = words.groupBy("form", "other").agg(F.count(F.lit(1)).alias("n"))
+    called = (F.length("form") > 2) & F.endswith("form", F.lit("!")) & F.col("other").isNull()
+    bare = forms.where(called).withColumn("word", F.expr("left(form, length(form) - 1)")).join(good.select("word"), "word", "left_anti").drop("word")
+    forms = checkpointed(forms.where(~called).unionByName(bare))
     # A parted word is the form that is more common; where neither is known, what either can be mended to; else the plain one,
     # but within a line, where a dash may be meant, none.
     every = forms.select("form").unionByName(forms.where("other is not null").select(F.col("other").alias("form"))).distinct()

@@ -59,3 +59,16 @@ def test_keys_fold_misreadings():
 def test_word_parted_within_a_line():
     _, _, words = k.page_places("Head\n\nthe labora- tory has pre- and post tests in the long line here\nand more text follows on this line", set())
     assert ("laboratory", "labora-tory", True) in {w[1:] for w in words}
+
+
+def test_bounds_that_concern_speed_only(spark, monkeypatch):
+    """Few words held by the workers and no broadcast give the same rows; "a fee!" is no misread "feel"."""
+    rows, _ = pages()
+    rows += [(500 + n, "plain9.pdf", "page 1", None, "the fee is due and you feel fine " * 5) for n in range(30)]
+    rows += [(3000 + n, "scan5.pdf", "page 1 (ocr)", None, "Head of it\n\nthe purchaser shall submit a fee! of quantities before\nshipment while you fee! fine and mon!tor reports content\nand more text follows here\n\n- 3 -") for n in range(3)]
+    df = spark.createDataFrame([(*r, "f", 1) for r in rows], SCHEMA)
+    every = {tuple(r) for r in k.damaged(df).collect()}
+    assert (3000, 4, "monitor") in every and not {r for r in every if r[2] in ("fee", "feel", "feei")}
+    monkeypatch.setattr(k, "COMMON", 2)
+    monkeypatch.setattr("griddoc.session.BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in k.damaged(df).collect()} == every
