@@ -1,13 +1,14 @@
 """Lines repeated across one file's segments.
 
-State is two count tables that only ever grow by merging:
+State is two count tables that only ever grow by merging, and one that only grows by appending:
 
-* file_rows(f1, f2, n_rows)   - rows of each file, null texts counted
-* line_rows(f1, f2, line, n)  - rows of each file that hold a line
+* file_rows(f1, f2, n_rows)      - rows of each file, null texts counted
+* line_rows(f1, f2, line, n)     - rows of each file that hold a line
+* postings(f1, f2, line, seg_id) - which rows these are, partitioned by a bucket of the key where it is stored
 
 A new partition of segments is counted on its own (count_delta), merged (merge_counts), and the lines that crossed the
-threshold in either direction are found (crossings); only rows that hold such a line are rebuilt (rows_to_rebuild).
-A full build is the same with an empty state.
+threshold in either direction are found (crossings); the rows that hold such a line are read off the postings, no text is
+read again (rows_to_rebuild), and only these are rebuilt. A full build is the same with an empty state.
 
 Keys are hashes: a file is 96 bits (f1, f2), a line 64 bits within its file, so lines are compared without shipping text.
 """
@@ -45,6 +46,22 @@ class Counts:
         return Counts(spark.read.parquet(f"{folder}/file_rows"), spark.read.parquet(f"{folder}/line_rows"))
 
 
+#: Folders over which stored postings are spread; crossings only read those of their keys.
+BUCKETS = 256
+
+
+def write_postings(rows: DataFrame, folder: str) -> None:
+    """Append the postings of a partition of segments to a stored table."""
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).alias("bucket")
+    postings(rows).select(bucket, *KEY, "seg_id").write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+def read_postings(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """The stored postings in the buckets of keys (few after one partition; all of them at the most)."""
+    buckets = [r["b"] for r in keys.select(F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).alias("b")).distinct().collect()]
+    return spark.read.parquet(folder).where(F.col("bucket").isin(buckets)).drop("bucket")
+
+
 def _file_key() -> list:
     name, missing = F.coalesce(F.col("file_name"), F.lit("")), F.col("file_name").isNull()
     return [F.xxhash64(name, missing).alias("f1"), F.hash(missing, name).alias("f2")]
@@ -111,13 +128,27 @@ def find(rows: DataFrame, state: Counts | None = None) -> DataFrame:
     return repeated_lines(rows, frequent(merge_counts(state, count_delta(rows))))
 
 
-def remove(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with column clean: the text without its found lines. Null texts stay null."""
-    drop = found.groupBy("seg_id").agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.expr("array_join(filter(split(text, '\n'), (l, i) -> _drop is null or not array_contains(_drop, i + 1)), '\n')")
-    return rows.join(drop, "seg_id", "left").withColumn("clean", F.when(F.col("text").isNotNull(), kept)).drop("_drop")
+def remove(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with column clean: the text without the lines of keys. Null texts stay null.
+
+    The keys of a file, at most MIN_SHARE_OF times the lines of its average row, come to its rows as one list, which is broadcast
+    if there are few; so no text is shuffled then.
+    """
+    of_file = keys.groupBy(*FILE).agg(F.collect_set("line").alias("_drop"))
+    one = rows.withColumns(dict(zip(("_f1", "_f2"), _file_key()))).withColumn("_lines", F.split("text", "\n"))
+    j = one.join(small(checkpointed(of_file.withColumnsRenamed({"f1": "_f1", "f2": "_f2"}))), ["_f1", "_f2"], "left")
+    bare = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}]+", "")
+    kept = F.filter("_lines", lambda x: ~((bare(x) != "") & F.array_contains("_drop", F.xxhash64(bare(x)))))
+    clean = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return j.withColumn("clean", F.when(F.col("text").isNotNull(), clean)).drop("_f1", "_f2", "_lines", "_drop")
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(f1, f2, line, seg_id): which rows hold which line."""
+    lines = rows.select("seg_id", *_file_key(), F.explode(F.array_distinct(F.split(_letters(), "\n"))).alias("l")).where("l <> ''")
+    return lines.select(*FILE, F.xxhash64("l").alias("line"), "seg_id")
 
 
-def rows_to_rebuild(rows: DataFrame, before: Counts | None, after: Counts) -> DataFrame:
-    """seg_ids of the rows that hold a line which crossed the threshold with the last merge."""
-    return repeated_lines(rows, crossings(before, after)).select("seg_id").distinct()
+def rows_to_rebuild(posted: DataFrame, changed: DataFrame) -> DataFrame:
+    """seg_ids of the posted rows that hold a line of changed, the keys which crossed the threshold with the last merge."""
+    return posted.join(small(checkpointed(changed.select(*KEY))), KEY, "left_semi").select("seg_id").distinct()

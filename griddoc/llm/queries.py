@@ -13,16 +13,17 @@ def p1_found(spark, d):
 
 
 def p1_clean(spark, d):
-    rows = table(spark, d, "doc_segment")
-    return boilerplate.remove(rows.select("seg_id", "text"), boilerplate.find(rows)).select("seg_id", "clean")
+    rows = table(spark, d, "doc_segment").select("seg_id", "file_name", "text")
+    return boilerplate.remove(rows, boilerplate.frequent(boilerplate.count_delta(rows))).select("seg_id", "clean")
 
 
 def p1_rebuilt(spark, d):
     """Rows to rebuild when the segments loaded since July 2025 arrive after all earlier ones."""
     rows = table(spark, d, "doc_segment")
-    late = F.col("loaded_at") >= F.lit("2025-07-01").cast("timestamp_ntz")
-    before = boilerplate.count_delta(rows.where(~late | late.isNull()))
-    return boilerplate.rows_to_rebuild(rows, before, boilerplate.merge_counts(before, boilerplate.count_delta(rows.where(late))))
+    late = F.coalesce(F.col("loaded_at") >= F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False))
+    before = boilerplate.count_delta(rows.where(~late))
+    after = boilerplate.merge_counts(before, boilerplate.count_delta(rows.where(late)))
+    return boilerplate.rows_to_rebuild(boilerplate.postings(rows), boilerplate.crossings(before, after))
 
 
 def p3_found(spark, d):
@@ -84,6 +85,15 @@ SQL = {
         c as (select f, k from (select f, k, count(distinct seg_id) as n from k where k <> '' group by 1, 2) join n using (f) where n >= 4 and n * 5 >= n_rows),
         a as (select seg_id, string_agg(t, chr(10) order by line_no) as clean from k left join c using (f, k) where c.k is null group by 1)
         select s.seg_id, case when s.text is not null then coalesce(a.clean, '') end as clean from doc_segment s left join a using (seg_id)""",
+    "p1_rebuilt": r"""
+        with l as (
+            select seg_id, coalesce(file_name, '') as f, coalesce(loaded_at >= timestamp '2025-07-01', false) as late,
+                   regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\p{L}]', '', 'g') as k
+            from doc_segment where text is not null),
+        n as (select coalesce(file_name, '') as f, count(*) as n_after, count(*) filter (not coalesce(loaded_at >= timestamp '2025-07-01', false)) as n_before from doc_segment group by 1),
+        c as (select f, k, count(distinct seg_id) as after, count(distinct seg_id) filter (not late) as before from l where k <> '' group by 1, 2),
+        x as (select f, k from c join n using (f) where (after >= 4 and after * 5 >= n_after) <> (before >= 4 and before * 5 >= n_before))
+        select distinct seg_id from l join x using (f, k)""",
     "p9_found": r"""
         with i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item),
         d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),

@@ -47,10 +47,14 @@ def test_incremental_equals_full(spark, tmp_path):
     state = None
     for k, p in enumerate(parts):
         before = state
+        b.write_postings(rows(spark, p), str(tmp_path / "postings"))
         b.merge_counts(state, b.count_delta(rows(spark, p))).write(str(tmp_path / f"state{k}"))
         state = b.Counts.read(spark, str(tmp_path / f"state{k}"))
     assert {tuple(r) for r in b.frequent(state).collect()} == {tuple(r) for r in b.frequent(b.count_delta(rows(spark, DATA))).collect()}
-    changed = {r["seg_id"] for r in b.rows_to_rebuild(rows(spark, DATA), before, state).collect()}
+    crossed = b.crossings(before, state)
+    posted = b.read_postings(spark, str(tmp_path / "postings"), crossed)
+    changed = {r["seg_id"] for r in b.rows_to_rebuild(posted, crossed).collect()}
+    assert changed == {r["seg_id"] for r in b.rows_to_rebuild(b.postings(rows(spark, DATA)), crossed).collect()}
     earlier = brute(parts[0] + parts[1])
     lines = {(i, n) for i, n in brute(DATA) ^ earlier if i in {x[0] for x in parts[0] + parts[1]}}
     assert {i for i, _ in lines} <= changed
@@ -61,11 +65,18 @@ def test_a_line_may_fall_below_the_threshold_again(spark):
     before = b.count_delta(rows(spark, first))
     after = b.merge_counts(before, b.count_delta(rows(spark, more)))
     assert [r["now"] for r in b.crossings(before, after).collect()] == [False]
-    assert {r["seg_id"] for r in b.rows_to_rebuild(rows(spark, first + more), before, after).collect()} == {0, 1, 2, 3}
+    assert {r["seg_id"] for r in b.rows_to_rebuild(b.postings(rows(spark, first + more)), b.crossings(before, after)).collect()} == {0, 1, 2, 3}
 
 
 def test_removal_and_empty(spark):
     df = rows(spark, DATA)
-    got = {r["seg_id"]: r["clean"] for r in b.remove(df.select("seg_id", "text"), b.find(df)).collect()}
+    got = {r["seg_id"]: r["clean"] for r in b.remove(df, b.frequent(b.count_delta(df))).collect()}
     assert got[0] == "\nbody a\n1 2 3" and got[10] is None and got[11] == "" and got[20] == "Share this"
     assert b.find(df.where(F.lit(False))).count() == 0
+
+
+def test_removal_drops_the_found_lines(spark):
+    df = rows(spark, DATA)
+    drop = brute(DATA)
+    want = {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in drop) for i, _, t in DATA}
+    assert {r["seg_id"]: r["clean"] for r in b.remove(df, b.frequent(b.count_delta(df))).collect()} == want
