@@ -13,7 +13,6 @@ letter pairs; near-matches are retrieved through tables on pairs of fingerprint
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,28 +235,28 @@ def units(rows: DataFrame) -> DataFrame:
     return mails.mapInArrow(run, _UNIT)
 
 
-_bits: dict[str, np.ndarray] = {}
-
-
-def _pair_bits(pair: str) -> np.ndarray:
-    """The 64 bits of a letter pair's hash, as 1 and -1."""
-    if (v := _bits.get(pair)) is None:
-        if len(_bits) > 50_000:
-            _bits.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(pair))
-        v = _bits[pair] = ((h >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
-    return v
+#: Letter pairs are hashed to so many features; each has a direction of 64 signs. Texts whose features are counted at once.
+FEATURES, TOGETHER = 2048, 50
+_SIGNS = np.where(np.random.default_rng(17).random((FEATURES, 64)) < 0.5, -1, 1).astype(np.int16)
 
 
 def simhash(texts: list[str]) -> np.ndarray:
     """64-bit SimHash over the pairs of neighbouring letters of each text."""
     out = np.zeros(len(texts), np.uint64)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for k, t in enumerate(texts):
-        t = f" {t} "
-        counts = Counter(map("".join, zip(t, t[1:])))
-        total = np.array(list(counts.values()), np.int32) @ np.stack([_pair_bits(p) for p in counts]).astype(np.int32)
-        out[k] = weight[total > 0].sum(dtype=np.uint64)
+    for start in range(0, len(texts), TOGETHER):
+        some = [f" {t} " for t in texts[start : start + TOGETHER]]
+        code = np.frombuffer("".join(some).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(t) for t in some])
+        pair = (code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+        feature = (pair >> np.uint64(40)).astype(np.int64) % FEATURES
+        # The pair across the end of a text, the last of its pairs, is left out.
+        last = np.cumsum(sizes) - 1
+        signs = _SIGNS[np.append(feature, 0)]
+        signs[last] = 0
+        total = np.add.reduceat(signs, last - sizes + 1, axis=0, dtype=np.int32)
+        signs = total > 0
+        out[start : start + len(some)] = (signs * weight).sum(1, dtype=np.uint64)
     return out.view(np.int64)
 
 
