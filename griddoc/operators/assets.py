@@ -8,31 +8,43 @@ from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
 from griddoc.operators.tables import first_seen_mode
+from griddoc.session import checkpointed
 
-#: Asset type of each kind of label, and the bay labels that are no feeder bays.
+#: Asset type of each kind of label, labels of feeders, and the bay labels that are no feeder bays.
 TYPES = {"breaker": "Circuit Breaker", "transformer": "Power Transformer", "bus": "Bus", "coupling": "PCC"}
+FEEDER = r"\b[HFLDJK]\d{2,3}\b"
 GENERAL_BAYS = ["=C00", "=C01", "=C02"]
 OUT_OF_SCOPE = ["Future", "Provision"]
+_ANY_LABEL = "(?i)" + "|".join(X.TAGS[k].removeprefix("(?i)") for k in TYPES)
 
 
-def _voltage(segments: DataFrame, keys: list[str]) -> DataFrame:
-    kv = segments.select(*keys, "seg_ord", F.posexplode(X.voltages(F.col("text"))).alias("k", "kv")).withColumn("place", F.col("seg_ord").cast("long") * 100_000 + F.col("k"))
-    return first_seen_mode(kv, keys, "kv", "place").select(*keys, "kv")
+def _commonest(values):
+    """The most frequent value of a list, of equals the first; null for an empty one."""
+    each = F.transform(F.array_distinct(values), lambda x: F.named_struct(F.lit("n"), F.size(F.filter(values, lambda y: y == x)), F.lit("p"), -F.array_position(values, x), F.lit("v"), x))
+    return F.array_max(each)["v"]
 
 
 def labelled(segments: DataFrame) -> DataFrame:
-    """(file_name, asset_type, status, kv, quantity, tags): labels of each drawing by type, scope and voltage.
+    """(file_name, asset_type, status, kv, area, quantity, tags): labels of each drawing by type, scope and voltage.
 
-    A label's scope and voltage come from the first segment that shows it; without a voltage there, from the drawing.
-    segments: file_name, seg_id, seg_ord, text.
+    A label's scope and voltage come from the first segment that shows it; without a voltage there, from the drawing. Feeders
+    count only in segments that name a voltage. segments: file_name, seg_id, seg_ord, text. Each text is read once.
     """
-    kinds = F.explode(F.array(*(F.struct(F.lit(t).alias("asset_type"), X.labels(F.col("text"), k).alias("tags")) for k, t in TYPES.items()))).alias("x")
-    tags = segments.select("file_name", "seg_ord", "seg_id", X.scope_status(F.coalesce("text", F.lit(""))).alias("status"), kinds)
-    tags = tags.select("file_name", "seg_ord", "seg_id", "status", "x.asset_type", F.explode("x.tags").alias("tag"))
-    first = tags.groupBy("file_name", "asset_type", "tag").agg(F.min(F.struct("seg_ord", "seg_id", "status")).alias("f")).select("file_name", "asset_type", "tag", "f.seg_id", "f.status")
-    own, whole = _voltage(segments, ["file_name", "seg_id"]).withColumnRenamed("kv", "own"), _voltage(segments, ["file_name"]).withColumnRenamed("kv", "whole")
-    placed = first.join(own, ["file_name", "seg_id"], "left").join(whole, "file_name", "left").withColumn("kv", F.coalesce("own", "whole"))
-    return placed.groupBy("file_name", "asset_type", "status", "kv").agg(F.count(F.lit(1)).alias("quantity"), F.array_join(F.array_sort(F.collect_set("tag")), "; ").alias("tags"))
+    none = F.array().cast("array<struct<asset_type:string,tag:string>>")
+    text = F.col("text")
+    typed = lambda tags, t: F.transform(tags, lambda x: F.named_struct(F.lit("asset_type"), F.lit(t), F.lit("tag"), x))
+    kinds = F.flatten(F.array(*(typed(X.labels(text, k), t) for k, t in TYPES.items())))
+    feeders = typed(F.array_distinct(F.regexp_extract_all(text, F.lit(FEEDER), F.lit(0))), "Feeder")
+    tagged, charged = text.rlike(_ANY_LABEL), F.contains(F.lower("text"), F.lit("kv"))
+    rows = segments.where(tagged | charged).select("file_name", "seg_ord", "seg_id", F.when(tagged | text.rlike(FEEDER), X.scope_status(text)).alias("status"), F.concat(F.when(tagged, kinds).otherwise(none), F.when(charged & text.rlike(X.VOLTAGE), feeders).otherwise(none)).alias("tags"), F.when(charged, X.voltages(text)).otherwise(F.array().cast("array<int>")).alias("kvs"))
+    rows = checkpointed(rows.where("size(tags) > 0 or size(kvs) > 0"))
+    tags = rows.withColumn("kv", _commonest(F.col("kvs"))).select("file_name", F.struct("seg_ord", "seg_id", "status", "kv").alias("at"), F.explode("tags").alias("x"))
+    first = tags.groupBy("file_name", "x.asset_type", "x.tag").agg(F.min("at").alias("f"))
+    kv = rows.select("file_name", "seg_ord", F.posexplode("kvs").alias("k", "kv")).withColumn("place", F.col("seg_ord").cast("long") * 100_000 + F.col("k"))
+    whole = first_seen_mode(kv, ["file_name"], "kv", "place").select(F.col("file_name").alias("of"), F.col("kv").alias("whole"))
+    placed = first.join(whole, F.col("file_name").eqNullSafe(F.col("of")), "left").select("file_name", "asset_type", "tag", "f.status", F.coalesce("f.kv", "whole").alias("kv"))
+    placed = placed.withColumn("area", F.coalesce(F.concat(F.col("kv").cast("string"), F.lit("kV Area")), F.lit("")))
+    return placed.groupBy("file_name", "asset_type", "status", "kv", "area").agg(F.count(F.lit(1)).alias("quantity"), F.array_join(F.array_sort(F.collect_set("tag")), "; ").alias("tags"))
 
 
 def switchgear(segments: DataFrame) -> DataFrame:
@@ -60,9 +72,18 @@ def counts(assets: DataFrame) -> DataFrame:
 
 
 def gases(segments: DataFrame) -> DataFrame:
-    """(file_name, gases): gases named anywhere in a document, in fixed order; CO, O2 and N2 by formula alone only beside three others."""
+    """(file_name, gases): gases named anywhere in a document, in fixed order; CO, O2 and N2 by formula alone only beside three others.
+
+    All names and formulas are one alternation, so each text is read once; a name within another counts too.
+    """
+    parts = {x: (g, x in n.split("|")) for g, p, n, _ in X.GASES for x in (y.replace(r"\b", "") for y in p.split("|"))}
+    every = "|".join(sorted((x if name else rf"\b{x}\b" for x, (_, name) in parts.items()), key=len, reverse=True))
     low = F.lower(F.coalesce("text", F.lit("")))
-    flags = segments.groupBy("file_name").agg(*(F.max(low.rlike(p)).alias(f"any_{g}") for g, p, _, _ in X.GASES), *(F.max(low.rlike(n)).alias(f"name_{g}") for g, _, n, _ in X.GASES))
+    seen = segments.select("file_name", F.explode_outer(F.array_distinct(F.regexp_extract_all(low, F.lit(every), F.lit(0)))).alias("x"))
+    within = {x: [y for y, (_, name) in parts.items() if name and y in x] for x in parts}
+    has = lambda words: F.coalesce(F.max(F.col("x").isin(words)), F.lit(False))
+    shows = lambda g, names: sorted({x for x in parts for y in (x, *within[x]) if parts[y][0] == g and (parts[y][1] or not names)})
+    flags = seen.groupBy("file_name").agg(*(has(shows(g, False)).alias(f"any_{g}") for g, *_ in X.GASES), *(has(shows(g, True)).alias(f"name_{g}") for g, *_ in X.GASES))
     strong = sum((F.col(f"any_{g}").cast("int") for g, _, _, a in X.GASES if not a), F.lit(0))
     shown = [F.when(F.col(f"any_{g}") & (F.lit(not a) | F.col(f"name_{g}") | (strong >= 3)), F.lit(g)) for g, _, _, a in X.GASES]
     return flags.select("file_name", F.array_compact(F.array(*shown)).alias("gases"))

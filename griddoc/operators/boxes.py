@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,28 +26,32 @@ def suppress(boxes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """Greedy suppression within each image and type: from the most certain box down, a box stays unless it overlaps a kept one.
 
     boxes: image_id, type, box_id, x, y, w, h, confidence; equally certain ones in the order of box_id. The rule depends on
-    the order, so Spark sorts the rows within partitions and one pass keeps only the boxes kept so far of the present group.
+    the order, so Spark sorts the rows within partitions and one pass keeps only the boxes kept so far of the present group,
+    in arrays with which a box is compared at once.
     """
     cols = ["image_id", "type", "box_id", "x", "y", "w", "h", "confidence"]
     ordered = boxes.select(*cols).repartition("image_id", "type").sortWithinPartitions("image_id", "type", F.col("confidence").desc(), "box_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
-        for b in batches:
-            stays = []
-            for image, kind, x, y, w, h in zip(*(b[c].tolist() for c in ("image_id", "type", "x", "y", "w", "h"))):
-                if (image, kind) != group:
-                    group, kept = (image, kind), []
-                right, low, area = x + w, y + h, w * h
-                for kx, ky, kr, kl, ka in kept:
-                    iw, ih = min(right, kr) - max(x, kx), min(low, kl) - max(y, ky)
-                    if iw > 0 and ih > 0 and iw * ih > overlap * (area + ka - iw * ih):
-                        stays.append(False)
-                        break
-                else:
-                    kept.append((x, y, right, low, area))
-                    stays.append(True)
-            yield b[stays]
+        group, kept, n = None, np.empty((5, 64)), 0
+        for batch in batches:
+            stays = np.ones(len(batch), bool)
+            x, y, w, h = (batch[c].to_numpy(float) for c in ("x", "y", "w", "h"))
+            sides = np.stack((x, y, x + w, y + h, w * h))
+            for k, key in enumerate(zip(batch["image_id"].tolist(), batch["type"].tolist())):
+                if key != group:
+                    group, n = key, 0
+                a, b = sides[:, k, None], kept[:, :n]
+                iw, ih = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
+                shared = iw * ih
+                if ((iw > 0) & (ih > 0) & (shared > overlap * (a[4] + b[4] - shared))).any():
+                    stays[k] = False
+                    continue
+                if n == kept.shape[1]:
+                    kept = np.concatenate((kept, np.empty_like(kept)), 1)
+                kept[:, n] = sides[:, k]
+                n += 1
+            yield batch[stays]
 
     return ordered.mapInPandas(run, ordered.schema)
 

@@ -6,7 +6,9 @@ with the number of terms. Everything after the hits is built-in expressions.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
+from griddoc.session import checkpointed, small
 
 #: Evidence below this confidence is dropped, and so many are kept per scenario and document.
 LEAST_CONFIDENCE, PER_DOCUMENT = 0.30, 4
@@ -74,6 +77,47 @@ def first_hits(segments: DataFrame, terms: DataFrame, key: str, text: str = "tex
     return wanted.mapInArrow(run, f"{schema}, {HIT}")
 
 
+def occurrences(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n, texts): how often each term (term) stands in all texts, by the rule of count_term, and in how many of them.
+
+    One pass of the automaton counts all terms; the sums are formed in the worker before they are shuffled. Terms that stand
+    nowhere have zeros; null texts hold none.
+    """
+    given = terms.select("term", F.lower(X.squeezed(F.col("term"))).alias("t"), X.is_short(F.lower(X.squeezed(F.col("term")))).alias("short")).limit(VOCABULARY + 1)
+    rows = given.where("t <> ''").collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} terms")
+    shared = texts.sparkSession.sparkContext.broadcast({r["t"]: r["short"] for r in rows})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        machine = ahocorasick.Automaton()
+        for t in known:
+            machine.add_word(t, t)
+        if known:
+            machine.make_automaton()
+        word = set("abcdefghijklmnopqrstuvwxyz0123456789")
+        n: Counter = Counter()
+        held: Counter = Counter()
+        for b in batches if known else ():
+            for s in b.column(0).to_pylist():
+                here: Counter = Counter()
+                free: dict[str, int] = {}
+                for end, t in machine.iter(s):
+                    start = end - len(t) + 1
+                    if known[t] and (start and s[start - 1] in word or end + 1 < len(s) and s[end + 1] in word) or start < free.get(t, 0):
+                        continue
+                    free[t] = end + 1
+                    here[t] += 1
+                n.update(here)
+                held.update(here.keys())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([held[t] for t in n], pa.int64())], ["t", "n", "texts"])
+
+    counted = texts.where(F.col(text).isNotNull()).select(F.lower(F.col(text))).mapInArrow(run, "t string, n long, texts long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return given.select("term", "t").join(counted, "t", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
 def evidence(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """Hits of the vocabulary with line, snippet and confidence.
 
@@ -83,7 +127,7 @@ def evidence(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """
     body = segments.where(~X.is_contents(F.col("text"))).select("seg_id", "file_name", "seg_ord", "text")
     t = terms.select("term_ord", "term", "scenario_id", "kind", "priority", X.is_ambiguous(F.col("term")).alias("ambiguous"))
-    hits = first_hits(body, terms, "seg_id", carry=("file_name", "seg_ord")).join(F.broadcast(t), "term_ord")
+    hits = first_hits(body, terms, "seg_id", carry=("file_name", "seg_ord")).join(small(t), "term_ord")
     strong = F.count_if(~F.col("ambiguous")).over(W.partitionBy("seg_id", "scenario_id"))
     known = hits.withColumn("strong", strong).where(~F.col("ambiguous") | (F.col("kind") == "synonym") | (F.col("strong") > 0)).where(~F.col("excluded"))
     confidence = F.when(F.col("kind") == "synonym", X.priority_confidence(F.col("priority"))).otherwise(X.keyword_confidence(F.col("term")))
@@ -128,12 +172,29 @@ def collapse(hits: DataFrame) -> DataFrame:
 def locate_quotes(quotes: DataFrame, segments: DataFrame, prefixes: tuple[int, ...] = (10_000, 160, 100, 60, 40)) -> DataFrame:
     """(quote_id, seg_id, at, prefix_rank): where each quote (quote_id, file_name, quote) stands in its document.
 
-    White space may differ. Longer beginnings of the quote are tried first; of equal ones the first segment wins.
+    White space may differ. Longer beginnings of the quote are tried first; of equal ones the first segment wins. A segment that
+    holds the shortest beginning holds its second to fourth word as whole words, so segments are looked up by the hash of these
+    and only hits compared. Beginnings of fewer words are looked up by what inner words they have; those without are compared
+    with each segment of their document.
     """
-    spaced = lambda c: X.normal_key(c)
-    q = quotes.select("quote_id", "file_name", spaced(F.col("quote")).alias("q")).where("q <> ''")
-    q = q.select("quote_id", "file_name", F.posexplode(F.array(*(F.substring("q", 1, n) for n in prefixes))).alias("prefix_rank", "p"))
-    s = segments.where(~X.is_contents(F.col("text"))).select("file_name", "seg_id", "seg_ord", spaced(F.col("text")).alias("t"))
-    found = q.join(s, "file_name").select("quote_id", "seg_id", "seg_ord", "prefix_rank", (F.instr(F.col("t"), F.col("p")) - 1).alias("at")).where("at >= 0")
+    head = F.split(F.substring("q", 1, min(prefixes)), " ")
+    q = quotes.select("quote_id", "file_name", X.normal_key(F.col("quote")).alias("q")).where("q <> ''")
+    q = q.withColumn("w", F.when(F.size(head) > 2, F.slice(head, 2, F.least(F.lit(3), F.size(head) - 2))).otherwise(F.array().cast("array<string>")))
+    q = q.select("quote_id", "file_name", "q", F.size("w").alias("n"), F.xxhash64(F.array_join("w", " ")).alias("key"))
+    s = segments.where(~X.is_contents(F.col("text"))).select("file_name", "seg_id", "seg_ord", X.normal_key(F.col("text")).alias("t"))
+    words = F.split("t", " ")
+    keyed = small(checkpointed(q.where("n > 0")))
+    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]
+    span = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice(words, k, n), " ")))
+    hits = [s.select("file_name", "seg_id", F.lit(n).alias("n"), F.explode(F.array_distinct(span(n))).alias("key")).join(keyed, ["file_name", "n", "key"]).select("quote_id", "q", "seg_id") for n in sizes]
+    hits.append(s.select("file_name", "seg_id").join(small(checkpointed(q.where("n = 0"))), "file_name").select("quote_id", "q", "seg_id"))
+    pairs = small(checkpointed(reduce(DataFrame.unionByName, hits)))
+    both = s.join(pairs, "seg_id")
+    rank = F
+    for k, n in enumerate(prefixes):
+        rank = rank.when(F.contains("t", F.substring("q", 1, n)), F.lit(k))
+    found = both.select("quote_id", "q", "seg_id", "seg_ord", "t", rank.alias("prefix_rank")).where("prefix_rank is not null")
+    size = F.element_at(F.array(*map(F.lit, prefixes)), F.col("prefix_rank") + 1)
+    found = found.select("quote_id", "seg_id", "seg_ord", "prefix_rank", (F.instr(F.col("t"), F.substring(F.col("q"), F.lit(1), size)) - 1).alias("at"))
     best = F.min(F.struct("prefix_rank", "seg_ord", "seg_id", "at")).alias("b")
     return found.groupBy("quote_id").agg(best).select("quote_id", "b.seg_id", "b.at", "b.prefix_rank")

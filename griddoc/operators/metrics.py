@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
 from griddoc.operators.match import first_hits
+from griddoc.session import small
 
 
 def metric_values(segments: DataFrame, terms: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def metric_values(segments: DataFrame, terms: DataFrame) -> DataFrame:
     value. A metric that is only named has the first place without value.
     """
     t = terms.select("term_ord", "term", "metric_id", X.tokens(F.col("unit")).alias("expected"), (F.lower(F.coalesce("data_type", F.lit(""))).rlike("text|list") | (F.lower(F.trim("unit")) == "text")).alias("wordy"))
-    hits = first_hits(segments, terms, "seg_id", carry=("file_name", "seg_ord")).join(F.broadcast(t), "term_ord")
+    hits = first_hits(segments, terms, "seg_id", carry=("file_name", "seg_ord")).join(small(t), "term_ord")
     fits = F.filter(X.values_in(F.col("near")), lambda v: X.unit_fits(v["unit"], F.col("expected"), F.lit(False)))
     pair = lambda n, u: F.struct(n.alias("number"), u.alias("unit"))
     value = F.when(F.coalesce("wordy", F.lit(False)), pair(X.squeezed(F.col("term")), F.lit(""))).otherwise(F.get(F.transform(fits, lambda v: pair(v["number"], v["unit"])), F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
+from griddoc.operators.running import previous, running_sum
 
 
 def running_boilerplate(pages: DataFrame, min_pages: int = 5, longest: int = 100) -> DataFrame:
@@ -27,13 +28,12 @@ def running_boilerplate(pages: DataFrame, min_pages: int = 5, longest: int = 100
 def islands(anchors: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
     """(file_name, lo, hi): anchors (file_name, seg_ord) widened by radius within 0..n-1, overlapping or adjacent ones merged.
 
-    sizes: file_name, n. Each anchor only looks at the one before it, so a document is one sort.
+    sizes: file_name, n. With one radius for all, both ends grow with the anchor, so each anchor only looks at the one before it.
     """
-    w = W.partitionBy("file_name").orderBy("lo", "hi")
     spans = anchors.distinct().join(sizes, "file_name").select("file_name", F.greatest(F.col("seg_ord") - radius, F.lit(0)).alias("lo"), F.least(F.col("seg_ord") + radius, F.col("n") - 1).alias("hi"))
-    ahead = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = spans.withColumn("fresh", (ahead.isNull() | (F.col("lo") > ahead + 1)).cast("int"))
-    grouped = marked.withColumn("g", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    before = previous(spans, ["file_name"], ["lo", "hi"], "hi", "ahead")
+    marked = before.withColumn("fresh", (F.col("ahead").isNull() | (F.col("lo") > F.col("ahead") + 1)).cast("int"))
+    grouped = running_sum(marked, ["file_name"], ["lo", "hi"], "fresh", "g")
     return grouped.groupBy("file_name", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("g")
 
 
@@ -64,10 +64,8 @@ def pack(segments: DataFrame, limit: int = 40_000) -> DataFrame:
 def line_offsets(segments: DataFrame) -> DataFrame:
     """(file_name, seg_id, first_line, last_line): line numbers of each segment when the document's segments are joined by a line break."""
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    w = W.partitionBy("file_name").orderBy("seg_ord", "seg_id")
-    one = segments.select("file_name", "seg_id", "seg_ord", n.alias("n"))
-    last = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return one.select("file_name", "seg_id", (last - F.col("n") + 1).alias("first_line"), last.alias("last_line"))
+    one = running_sum(segments.select("file_name", "seg_id", "seg_ord", n.alias("n")), ["file_name"], ["seg_ord", "seg_id"], "n", "last_line")
+    return one.select("file_name", "seg_id", (F.col("last_line") - F.col("n") + 1).alias("first_line"), "last_line")
 
 
 def radius_of(segments: DataFrame) -> DataFrame:

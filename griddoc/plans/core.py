@@ -60,10 +60,7 @@ def evidence_by_line(spark, d):
 
 
 def term_occurrences(spark, d):
-    t = _terms(spark).select("term_ord", "term").collect()
-    low = F.lower(F.coalesce("text", F.lit("")))
-    rows = table(spark, d, "documents").select(F.explode(F.array(*(F.struct(F.lit(r["term"]).alias("term"), X.count_term(low, F.lit(r["term"])).alias("n")) for r in t))).alias("x"))
-    return rows.groupBy("x.term").agg(F.sum("x.n").alias("n"), F.count_if(F.col("x.n") > 0).alias("docs"))
+    return match.occurrences(table(spark, d, "documents"), _terms(spark)).withColumnRenamed("texts", "docs")
 
 
 def contents_pages(spark, d):
@@ -88,13 +85,6 @@ def capability_verdict(spark, d):
     return p.select("param_id", X.verdict(F.lit("60"), F.col("min_value"), F.col("max_value"), F.col("supported_value")).alias("verdict"))
 
 
-def best_product(spark, d):
-    """Per family and metric the product whose range holds 60 most often; ties go to the lower id."""
-    p = table(spark, d, "product_parameter").select("family_id", "metric_id", "product_id", X.verdict(F.lit("60"), F.col("min_value"), F.col("max_value"), F.col("supported_value")).alias("v"))
-    n = p.groupBy("family_id", "metric_id", "product_id").agg(F.count_if(F.col("v") == "pass").alias("passed"), F.count_if(F.col("v") == "fail").alias("failed"))
-    return tables.first_per_key(n, ["family_id", "metric_id"], ["failed", F.col("passed").desc(), "product_id"])
-
-
 def values_near(spark, d):
     low = F.lower("text")
     s = table(spark, d, "doc_segment").select("seg_id", "text", (F.instr(low, F.lit("temperature")) - 1).alias("at")).where("at >= 0")
@@ -171,7 +161,7 @@ def feedback_overlay(spark, d):
 
 
 def unique_slugs(spark, d):
-    p = table(spark, d, "product_master").select("row_ord", "family_id", X.slug(F.substring("model", 1, 4)).alias("slug"))
+    p = table(spark, d, "product_master").select("row_ord", "family_id", X.slug(F.col("model")).alias("slug"))
     return tables.numbered_suffix(p, ["family_id"], "slug", "row_ord")
 
 
@@ -199,8 +189,9 @@ def status_pivot(spark, d):
 
 
 def asset_counts(spark, d):
-    li = table(spark, d, "lineitem").where("l_linestatus <> 'F' and l_quantity <> 0")
-    return li.groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(18,2)").alias("quantity"))
+    status = F.when(F.col("l_linestatus") == "F", "Future").otherwise("New")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file_name"), F.col("l_returnflag").alias("asset_type"), status.alias("status"), F.col("l_quantity").cast("long").alias("quantity"))
+    return assets.counts(li)
 
 
 def url_ranking(spark, d):
@@ -253,7 +244,8 @@ def located_quotes(spark, d):
 
 
 def drawing_assets(spark, d):
-    return assets.labelled(table(spark, d, "doc_segment"))
+    """The labels on drawings; voltage 0 where none is named."""
+    return assets.labelled(table(spark, d, "doc_segment")).withColumn("kv", F.coalesce("kv", F.lit(0)))
 
 
 def asset_totals(spark, d):
@@ -281,7 +273,7 @@ QUERIES: dict = {
     f.__name__: f
     for f in (
         p2_found, p4_found, evidence_hits, evidence_topk, scenario_confidence, evidence_by_line, term_occurrences, contents_pages, doc_types,
-        running_boilerplate, spec_bounds, capability_verdict, best_product, values_near, anchored_islands, chunk_packing, line_offsets,
+        running_boilerplate, spec_bounds, capability_verdict, values_near, anchored_islands, chunk_packing, line_offsets,
         bounded_context, drawing_labels, dominant_voltage, catalog_upsert, replace_by_key, insert_if_absent, prefer_first, fill_missing,
         feedback_overlay, unique_slugs, carried_forward, distinct_by_hash, first_seen_mode, newest_history, status_pivot, asset_counts,
         url_ranking, set_difference, json_props, canonical_names, scenario_products, event_windows, box_suppression, drawing_tiles, located_quotes,
@@ -323,9 +315,61 @@ _BOUNDS = f"""
     b as (select *, case when min_value is not null or max_value is not null then min_value when len(n) = 0 or up then null when down or len(n) >= 2 then list_min(n) end as lo,
                     case when min_value is not null or max_value is not null then max_value when len(n) = 0 then null when up then list_max(n) when down then null when len(n) >= 2 then list_max(n) else n[1] end as hi from n),
     v as (select *, case when lo is null and hi is null then 'unknown' when (lo is null or 60 >= lo) and (hi is null or 60 <= hi) then 'pass' else 'fail' end as verdict from b)"""
+_MASKED, _PLAIN = "';；|,，/' || chr(10) || chr(13) || chr(9)", "chr(57601) || chr(57602) || chr(57603) || chr(57604) || chr(57605) || chr(57606) || chr(57607) || chr(57608) || chr(57609)"
+#: The values of a packed cell: delimiters within spans are masked, the strongest one outside splits, spans get theirs back.
+_UNPACK = rf"""
+    p{{n}} as (select {{key}}, regexp_replace(trim({{cell}}, ' ' || chr(9) || chr(10) || chr(13)), '(?s)^\[(.*)\]$', '\1') as c from {{table}} where {{cell}} is not null and lower(trim({{cell}}, ' ' || chr(9) || chr(10) || chr(13))) not in ({", ".join(f"'{x}'" for x in ["", *packed.NOTHING])})),
+    q{{n}} as (select {{key}}, array_to_string(list_transform(regexp_extract_all(c, '(?s)(?:^|[\s;；|,/])\x27(?:[^\x27]|\x27\x27)*\x27|"(?:[^"]|"")*"|\([^()]*\)|.'),
+        lambda x: case when length(x) = 1 then x when x[1] in ('"', '(', chr(39)) then translate(x, {_MASKED}, {_PLAIN}) else x[1] || translate(x[2:], {_MASKED}, {_PLAIN}) end), '') as c from p{{n}}),
+    s{{n}} as (select {{key}}, case when {{ids}} then string_split_regex(c, '(?:[\s,，;；|/&+]|\band\b)+') when regexp_matches(c, '[\n\r\t;；|]') then string_split_regex(c, '[\n\r\t;；|]+') when regexp_matches(c, '\s/\s') then string_split_regex(c, '\s+/\s+') else string_split_regex(c, '[,，]') end as v from q{{n}}),
+    t{{n}} as (select {{key}}, list_filter(list_transform(v, lambda x: trim(case when regexp_full_match(trim(x), '(?s)"(?:[^"]|"")*"') then replace(trim(x)[2:-2], '""', '"') when regexp_full_match(trim(x), '(?s)\x27(?:[^\x27]|\x27\x27)*\x27') then replace(trim(x)[2:-2], chr(39) || chr(39), chr(39)) else x end, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as v from s{{n}}),
+    u{{n}} as (select {{key}}, cast(generate_subscripts(v, 1) as integer) as pos, translate(unnest(v), {_PLAIN}, {_MASKED}) as val from t{{n}})"""
+
+
+def _unpacked(n: int, source: str, key: str, cell: str, ids: bool) -> str:
+    return _UNPACK.format(n=n, key=key, cell=cell, table=source, ids=str(ids).lower())
+
+
+_SYNONYMS = _unpacked(1, "metric_dictionary", "row_ord", "synonyms", False)
+_LABELS = " union all ".join(f"select file_name, seg_ord, seg_id, text, '{t}' as asset_type, upper(unnest(regexp_extract_all(text, '{X.TAGS[k]}'))) as tag from doc_segment" for k, t in assets.TYPES.items())
+_ASSETS = rf"""
+    l as ({_LABELS} union all select file_name, seg_ord, seg_id, text, 'Feeder', unnest(regexp_extract_all(text, '{assets.FEEDER}')) from doc_segment where regexp_matches(text, '{X.VOLTAGE}')),
+    first as (select * from (select distinct * from l) qualify row_number() over (partition by file_name, asset_type, tag order by seg_ord, seg_id) = 1),
+    v as (select file_name, seg_id, seg_ord, regexp_extract_all(text, '{X.VOLTAGE}', 1) as vs from doc_segment),
+    w as (select file_name, seg_id, seg_ord, generate_subscripts(vs, 1) as k, cast(unnest(vs) as integer) as kv from v),
+    own as (select seg_id, kv as own from (select seg_id, kv, count(*) as n, min(k) as f from w group by 1, 2) qualify row_number() over (partition by seg_id order by n desc, f) = 1),
+    whole as (select file_name, kv as whole from (select file_name, kv, count(*) as n, min(seg_ord * 100000 + k) as f from w group by 1, 2) qualify row_number() over (partition by file_name order by n desc, f) = 1),
+    a as (select first.file_name, asset_type, tag, coalesce(own, whole) as kv, case when regexp_matches(text, '{X.SCOPES[0][1]}') then 'Future' when regexp_matches(text, '{X.SCOPES[1][1]}') then 'Provision'
+            when regexp_matches(text, '{X.SCOPES[2][1]}') then 'Existing' when regexp_matches(text, '{X.SCOPES[3][1]}') then 'New' else 'Unclear' end as status from first left join own using (seg_id) left join whole on whole.file_name is not distinct from first.file_name),
+    assets as (select file_name, asset_type, status, coalesce(kv, 0) as kv, case when kv is null then '' else kv || 'kV Area' end as area, count(*) as quantity, string_agg(tag, '; ' order by tag) as tags from a group by all)"""
 _NORMAL = "trim(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'))"
 
 SQL: dict = {
+    "p2_found": f"with {_unpacked(1, 'metric_dictionary', 'row_ord', 'synonyms', False).strip()}, {_unpacked(2, 'product_family', 'row_ord', 'dependencies', False)}, {_unpacked(3, 'product_master', 'row_ord', 'applicable_scenarios', True)} "
+    "select 'synonyms' as field, * from u1 union all select 'dependencies', * from u2 union all select 'applicable_scenarios', * from u3",
+    "canonical_names": rf"""with {_SYNONYMS.strip()}, n as (select val as synonym, metric_id as canonical from u1 join metric_dictionary using (row_ord) union select standard_name, metric_id from metric_dictionary),
+        k as (select distinct trim(regexp_replace(lower(synonym), '\s+', ' ', 'g')) as k, canonical from n)
+        select row_ord, parameter_name, canonical from unmapped_parameter join k on k.k = trim(regexp_replace(lower(coalesce(parameter_name, '')), '\s+', ' ', 'g'))""",
+    "drawing_assets": f"with {_ASSETS.strip()} select * from assets",
+    "asset_totals": f"with {_ASSETS.strip()} select file_name, asset_type, cast(sum(quantity) as bigint) as quantity from assets where status not in ('Future', 'Provision') group by 1, 2",
+    "box_suppression": """with b as (select l_suppkey as image_id, l_returnflag as type, l_orderkey * 10 + l_linenumber as box_id, cast(l_partkey % 97 as double) as x, cast(l_orderkey % 89 as double) as y, l_quantity + 5 as w, l_quantity % 17 + 5 as h, l_discount as c from lineitem),
+        g as (select image_id, type, list([struct_pack(i := box_id, x := x, y := y, w := w, h := h)] order by c desc, box_id) as bs from b group by 1, 2),
+        k as (select image_id, type, list_reduce(bs, lambda a, n: case when len(list_filter(a, lambda p: least(p.x + p.w, n[1].x + n[1].w) > greatest(p.x, n[1].x) and least(p.y + p.h, n[1].y + n[1].h) > greatest(p.y, n[1].y) and
+            (least(p.x + p.w, n[1].x + n[1].w) - greatest(p.x, n[1].x)) * (least(p.y + p.h, n[1].y + n[1].h) - greatest(p.y, n[1].y)) >
+            0.4 * (p.w * p.h + n[1].w * n[1].h - (least(p.x + p.w, n[1].x + n[1].w) - greatest(p.x, n[1].x)) * (least(p.y + p.h, n[1].y + n[1].h) - greatest(p.y, n[1].y))))) > 0 then a else list_concat(a, n) end) as ks from g)
+        select image_id, type, unnest(ks).i as box_id from k""",
+    "metric_values": rf"""with {_SYNONYMS.strip()},
+        m as (select row_ord, metric_id, unit, data_type, standard_name as term, 999 as k from metric_dictionary union all select row_ord, metric_id, unit, data_type, val, pos from u1 join metric_dictionary using (row_ord)),
+        t as (select metric_id, row_ord * 1000 + k as term_ord, trim(regexp_replace(term, '\s+', ' ', 'g')) as word, trim(regexp_replace(lower(term), '\s+', ' ', 'g')) as low, list_filter(regexp_split_to_array(lower(coalesce(unit, '')), '[^a-z0-9]+'), lambda x: x <> '') as units,
+                     coalesce(regexp_matches(lower(coalesce(data_type, '')), 'text|list') or lower(trim(unit)) = 'text', false) as wordy from m),
+        f as (select file_name, seg_id, seg_ord, text, t.*, case when length(low) <= 5 and regexp_full_match(replace(low, ' ', ''), '[\p{{L}}\p{{N}}]+')
+                then case when regexp_matches(lower(text), '(^|[^a-z0-9])' || low || '($|[^a-z0-9])') then length(regexp_extract(lower(text), '(?s)^((?:.*?[^a-z0-9])?)' || low || '(?:[^a-z0-9]|$)', 1)) else -1 end
+                else instr(lower(text), low) - 1 end as hit from doc_segment, t where text <> ''),
+        n as (select *, substring(text, greatest(hit - 60, 0) + 1, hit + 60 - greatest(hit - 60, 0)) as near from f where hit >= 0),
+        z as (select *, list_filter(list_filter(list_zip(regexp_extract_all(near, '{X.VALUE_UNIT}', 1), regexp_extract_all(near, '{X.VALUE_UNIT}', 2)), lambda x: coalesce(x[2], '') <> '' or length(x[1]) > 1),
+                lambda x: case when len(units) = 0 then regexp_replace(lower(coalesce(x[2], '')), '\.+$', '') <> '' else list_contains(units, regexp_replace(lower(coalesce(x[2], '')), '\.+$', '')) end) as vs from n),
+        r as (select *, case when wordy then word else vs[1][1] end as number, case when wordy then '' else coalesce(vs[1][2], '') end as u, not wordy and len(vs) = 0 as none from z)
+        select file_name, metric_id, coalesce(number, '') as value, case when none then '' else u end as unit, seg_id, not none as has_value from r qualify row_number() over (partition by file_name, metric_id order by none, seg_ord, seg_id, term_ord, number, u) = 1""",
     "evidence_hits": f"with {_HITS} select seg_id, term_ord, hit as pos, line, confidence, scenario_id from hits",
     "evidence_topk": f"with {_BEST} select file_name, evidence_id, scenario_id, seg_id, term, line, confidence from best",
     "scenario_confidence": f"with {_BEST} select file_name, scenario_id, cast(least(0.97, max(confidence) + least(0.1, 0.02 * (count(*) - 1))) as decimal(5,3)) as confidence, count(*) as evidence_count from best group by 1, 2",
@@ -350,8 +394,6 @@ SQL: dict = {
         select file_name, line, n, n_pages from c join n using (file_name) where n >= greatest(4, n_pages // 2)""",
     "spec_bounds": f"with {_BOUNDS} select param_id, lo, hi from b",
     "capability_verdict": f"with {_BOUNDS} select param_id, verdict from v",
-    "best_product": f"""with {_BOUNDS}, c as (select family_id, metric_id, product_id, count(*) filter (verdict = 'pass') as passed, count(*) filter (verdict = 'fail') as failed from v group by 1, 2, 3)
-        select * exclude r from (select *, row_number() over (partition by family_id, metric_id order by failed, passed desc, product_id) as r from c) where r = 1""",
     "values_near": rf"""with s as (select seg_id, text, instr(lower(text), 'temperature') - 1 as hit from doc_segment where contains(lower(text), 'temperature')),
         w as (select seg_id, substring(text, greatest(hit - 60, 0) + 1, hit + 60 - greatest(hit - 60, 0)) as near from s),
         m as (select seg_id, list_filter(list_zip(regexp_extract_all(near, '{X.VALUE_UNIT}', 0), regexp_extract_all(near, '{X.VALUE_UNIT}', 1), regexp_extract_all(near, '{X.VALUE_UNIT}', 2)), lambda x: coalesce(x[3], '') <> '' or length(x[2]) > 1) as v from w),
@@ -405,7 +447,7 @@ SQL: dict = {
         select coalesce(c.c_custkey, o.c_custkey) as c_custkey, case when c.segment <> '' then c.segment else o.segment end as segment, greatest(c.rank, o.rank) as rank from c full join o on c.c_custkey = o.c_custkey""",
     "feedback_overlay": """with e as (select user_id, max(event_type) as t, count(*) filter (event_type = 'error') > 15 as deleted from events where event_type in ('error', 'view') group by 1)
         select c_custkey, c_name, coalesce(e.t, c_mktsegment) as c_mktsegment from customer left join e on e.user_id = c_custkey where not coalesce(deleted, false)""",
-    "unique_slugs": r"""with s as (select row_ord, family_id, upper(regexp_replace(regexp_replace(coalesce(substring(model, 1, 4), ''), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as s from product_master),
+    "unique_slugs": r"""with s as (select row_ord, family_id, upper(regexp_replace(regexp_replace(coalesce(model, ''), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as s from product_master),
         d as (select row_ord, family_id, case when s = '' then 'MODEL' else s end as s from s), n as (select *, row_number() over (partition by family_id, s order by row_ord) as n from d)
         select row_ord, family_id, case when n = 1 then s else s || '_' || n end as slug from n""",
     "carried_forward": """with e as (select user_id, event_id, case when event_type = 'purchase' then event_id end as bought from events)
@@ -416,7 +458,7 @@ SQL: dict = {
     "newest_history": """with o as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events)
         select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from o where r = 1) where k <= 3""",
     "status_pivot": "select o_orderpriority, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'O') as o, count(*) filter (o_orderstatus = 'P') as p, count(*) as total from orders group by 1",
-    "asset_counts": "select l_returnflag, cast(sum(cast(l_quantity as decimal(12,2))) as decimal(18,2)) as quantity from lineitem where l_linestatus <> 'F' and l_quantity <> 0 group by 1",
+    "asset_counts": "select l_suppkey as file_name, l_returnflag as asset_type, cast(sum(l_quantity) as bigint) as quantity from lineitem where l_linestatus <> 'F' and l_quantity <> 0 group by 1, 2",
     "url_ranking": r"""with u as (select distinct family_id, datasheet_url, cast(case when contains(lower(datasheet_url), 'altimor') then 1.0 else 0 end + case when regexp_matches(lower(datasheet_url), 'pdf|datasheet|product') then 0.5 else 0 end as decimal(4,1)) as score from product_master where datasheet_url <> '')
         select * from (select *, cast(row_number() over (partition by family_id order by score desc, datasheet_url) as integer) as rank from u) where rank <= 4""",
     "set_difference": "select c_custkey from customer except select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderpriority like '1%'",

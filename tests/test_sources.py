@@ -54,9 +54,9 @@ def test_folder(spark, tmp_path):
 
 
 def test_header_is_found_anywhere(spark):
-    cells = [(1, ["Guide", ""]), (2, ["", "metric id", "Unit", "Synonyms", "Extra"]), (3, ["", "M1", " kV ", "a; b;;", "x"]), (4, ["", "", "no key", "", ""]), (5, ["", "M2"]), (6, ["", "M1", "V", "c", ""])]
+    cells = [(1, ["Guide", ""]), (2, ["", "metric id", "Standard Unit", "Synonyms / Raw Terms", "Extra"]), (3, ["", "M1", " kV ", "a; b;;", "x"]), (4, ["", "", "no key", "", ""]), (5, ["", "M2"]), (6, ["", "M1", "V", "c", ""])]
     df = spark.createDataFrame(cells, "row int, cells array<string>")
-    heads = [(r, [c.title().replace("Id", "ID") if r == 2 else c for c in cs]) for r, cs in cells]
+    heads = [(r, ["Metric ID" if c == "metric id" else c for c in cs]) for r, cs in cells]
     df = spark.createDataFrame(heads, "row int, cells array<string>")
     got = sheets.records(df, "metric").orderBy("row").collect()
     assert [(r["metric_id"], r["unit"], r["synonyms"], r["standard_name"]) for r in got] == [("M1", "kV", ["a", "b"], ""), ("M2", "", [], ""), ("M1", "V", ["c"], "")]
@@ -74,7 +74,14 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b"'), (2, "c")], "k int, v string")
     for _ in range(2):
         sinks.publish(df, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 2 and [x.name for x in tmp_path.iterdir()] == ["p"]
+    assert sinks.read_published(spark, str(tmp_path / "p")).count() == 2
+    sinks.publish(df.where("k = 1"), str(tmp_path / "p"))
+    assert [r["k"] for r in sinks.read_published(spark, str(tmp_path / "p")).collect()] == [1]
+    assert len([x for x in (tmp_path / "p").iterdir() if x.name.startswith("v-")]) == 2
+    for v in (df, df.limit(1)):
+        sinks.backed_up(v, str(tmp_path / "b"), "t")
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 1 and spark.read.parquet(str(tmp_path / "b.t")).count() == 2
+    assert {r["value"] for r in sinks.json_rows(df).collect()} == {'{"k":1,"v":"a \\"b\\""}', '{"k":2,"v":"c"}'}
     sinks.append_log(df, str(tmp_path / "log"))
     sinks.append_log(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
