@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
-from griddoc.operators import anchors, assets, catalog, match, packed, tables
+from griddoc.operators import anchors, catalog, match, packed, replies, tables
 from griddoc.operators.running import running_sum
 from griddoc.plans import core
 from griddoc.session import shared_folder, table
-from griddoc.sources import sheets, sinks
+from griddoc.sources import documents, sheets, sinks
 
 
 def _fresh(spark, name):
@@ -383,6 +383,62 @@ def sheet_records(spark, d):
     return got.select(F.col("row").alias("param_id"), "product_id", "metric_id", "min_value", "max_value", "unit")
 
 
+def folder_rows(spark, d):
+    """A CSV file in a folder, read as segments: one for each row, its cells between bars."""
+    path = _fresh(spark, "folder")
+    rows = table(spark, d, "supplier").select("s_suppkey", F.col("s_name"), F.col("s_nationkey").cast("string"))
+    rows.coalesce(1).sortWithinPartitions("s_suppkey").write.option("header", True).csv(path)
+    return documents.read_folder(spark, path).select("seg_ord", "location", "text")
+
+
+def seeded_boxes(spark, d):
+    """Boxes stored as JSON lines, what is not stated filled in."""
+    path = _fresh(spark, "seed")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("label"), F.when(F.col("p_size") > 25, F.col("p_size") / 64).alias("confidence"))
+    p.write.json(path)
+    back = spark.read.schema("id long, type string, label string, confidence double, status string").json(path)
+    return back.select("id", "type", F.coalesce("label", "type").alias("label"), F.coalesce("confidence", F.lit(0.7)).alias("confidence"), F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def stored_feedback(spark, d):
+    """Feedback stored one object a line; lines that cannot be read count as empty."""
+    path = _fresh(spark, "feedback")
+    e = table(spark, d, "events").select(F.when(F.col("event_type") == "error", F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))).alias("value"))
+    e.write.text(path)
+    back = spark.read.schema("id long, kind string").option("mode", "PERMISSIVE").json(path)
+    return back.groupBy(F.coalesce("kind", F.lit("{}")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _seen(spark, d):
+    """Replies as a model that looks at drawings might give them, made of table rows."""
+    p = table(spark, d, "part")
+    kind = F.element_at(F.array(*map(F.lit, ["Circuit Breaker", "Transformer", "Toaster"])), F.col("p_size") % 3 + 1)
+    status = F.element_at(F.array(*map(F.lit, ["new", "FUTURE", "odd"])), F.length("p_name") % 3 + 1)
+    quantity = F.when(F.col("p_size") < 10, F.lit("many")).when(F.col("p_size") < 20, F.lit("0")).otherwise(F.col("p_size").cast("string"))
+    item = F.struct(F.col("p_name").alias("asset_tag"), kind.alias("asset_type"), status.alias("status"), quantity.alias("quantity"))
+    return p.select(F.col("p_partkey").alias("chunk_id"), F.concat(F.lit("Seen: ```json\n"), F.to_json(F.struct(F.array(item).alias("assets"))), F.lit("\n```")).alias("reply"))
+
+
+def seen_assets(spark, d):
+    return replies.seen_assets(_seen(spark, d)).select("chunk_id", "asset_tag", "asset_type", "status", "quantity")
+
+
+def injected_pages(spark, d):
+    """Segments with text read off the pages of each document whose number is that of its first page, and the one after its last."""
+    s = table(spark, d, "doc_segment").where("file_name is not null").select("file_name", F.col("seg_id").alias("seg_ord"), "location", "text")
+    n = s.select("file_name", X.page_number(F.col("location")).alias("n")).where("n is not null").groupBy("file_name").agg(F.min("n").alias("lo"), (F.max("n") + 1).alias("hi"))
+    read = n.select("file_name", F.explode(F.array("lo", "hi")).alias("page")).distinct().withColumn("text", F.lit("seen"))
+    got = replies.injected(s, read)
+    return got.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit(replies.READ_OFF))).alias("marked"))
+
+
+def allowed_pairs(spark, d):
+    """Parameters of the metrics that the synonyms map, by scenario."""
+    syn = table(spark, d, "synonym_mapping").where("scenario_id is not null and metric_id <> ''").select("scenario_id", "metric_id")
+    items = table(spark, d, "product_parameter").select("param_id", "metric_id").join(syn.select("scenario_id").distinct().limit(1_000_000), F.col("metric_id") == "MET_107")
+    return replies.allowed(items, syn).select("param_id", "scenario_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -392,7 +448,8 @@ QUERIES = {
         family_scenario, mean_confidence, review_counts, scenario_best, first_snippets, group_totals, renumbered_lines, distinct_names,
         question_order, page_order, class_a, anchored_chunks, anchor_segments, box_union, parsed_times, neutral_texts, highest_voltage,
         backed_products, item_families, query_plan, vision_pages, tagged_text, first_valued, common_scenarios, written_json, written_csv,
-        published_table, appended_log, backed_up_table, sheet_records,
+        published_table, appended_log, backed_up_table, sheet_records, folder_rows, seeded_boxes, stored_feedback, seen_assets, injected_pages,
+        allowed_pairs,
     )
 }
 
@@ -515,5 +572,16 @@ SQL = {
     "published_table": "select n_nationkey, upper(n_name) as n_name from nation",
     "appended_log": "select event_type, count(*) as n from events group by 1",
     "backed_up_table": "select r_regionkey, lower(r_name) as r_name, 'new' as of from region union all select r_regionkey, r_name, 'old' from region",
+    "folder_rows": """with r as (select s_suppkey, s_suppkey || ' | ' || s_name || ' | ' || s_nationkey as text, row_number() over (order by s_suppkey) + 1 as k from supplier union all select -1, 's_suppkey | s_name | s_nationkey', 1)
+        select cast(k as integer) as seg_ord, 'row ' || k as location, text from r""",
+    "seeded_boxes": "select p_partkey as id, p_brand as type, case when p_size > 10 then p_name else p_brand end as label, case when p_size > 25 then p_size / 64 else 0.7 end as confidence, 'pending' as status from part",
+    "stored_feedback": "select case when event_type = 'error' then '{}' else event_type end as kind, count(*) as n from events group by 1",
+    "seen_assets": """with p as (select *, ['Circuit Breaker', 'Transformer', 'Toaster'][p_size % 3 + 1] as t, ['New', 'Future', 'Unclear'][length(p_name) % 3 + 1] as s from part)
+        select p_partkey as chunk_id, p_name as asset_tag, t as asset_type, s as status, cast(case when p_size < 20 then 1 else p_size end as double) as quantity from p where t <> 'Toaster'""",
+    "injected_pages": r"""with s as (select file_name, seg_id, text, lower(location) as l, try_cast(regexp_extract(coalesce(location, ''), '(?i)page\s+(\d+)', 1) as integer) as n from doc_segment where file_name is not null),
+        g as (select file_name, min(n) as lo, max(n) + 1 as hi from s group by 1), r as (select distinct file_name, unnest([lo, hi]) as page from g where lo is not null),
+        f as (select file_name, l, min(seg_id) as seg_id from s group by 1, 2), hit as (select r.file_name, page, f.seg_id from r left join f on f.file_name = r.file_name and f.l = 'page ' || page)
+        select s.file_name, count(distinct s.seg_id) + (select count(*) from hit h where h.file_name = s.file_name and h.seg_id is null) as n, (select count(*) from hit h where h.file_name = s.file_name) as marked from s group by 1""",
+    "allowed_pairs": "with s as (select distinct scenario_id, metric_id from synonym_mapping where scenario_id is not null and metric_id = 'MET_107') select param_id, scenario_id from product_parameter join s using (metric_id)",
     "sheet_records": r"select param_id, trim(regexp_replace(product_id, '\s+', ' ', 'g')) as product_id, trim(regexp_replace(coalesce(metric_id, ''), '\s+', ' ', 'g')) as metric_id, min_value, max_value, trim(regexp_replace(coalesce(unit, ''), '\s+', ' ', 'g')) as unit from product_parameter where coalesce(trim(product_id), '') <> ''",
 }

@@ -1,7 +1,7 @@
 """Folders of project files as tables of documents and segments.
 
-Files are read by Spark's binary source and parsed on the executors, one file at a time. Parsers that need a package which
-is not installed give one segment with location "error", as does a file that cannot be read.
+Files are read by Spark's binary source and parsed on the executors, one file at a time. A file that cannot be read gives one
+segment with location "error".
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from griddoc.functions.text import doc_type_of
+from griddoc.sources import pdf
 
 #: Extensions that are read.
 EXTENSIONS = ["pdf", "docx", "xlsx", "xlsm", "pptx", "csv", "eml", "msg", "txt", "md"]
@@ -129,11 +130,14 @@ def slides(data: bytes) -> Segments:
 
 
 def pdf_pages(data: bytes) -> Segments:
+    """Pages with text. The package pypdf, where it is installed, knows more of the format than the reader of this package."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        return [("error", "no PDF reader installed")]
-    return [(f"page {n}", t) for n, p in enumerate(PdfReader(io.BytesIO(data)).pages, 1) if (t := (p.extract_text() or "").strip())]
+        texts = pdf.page_texts(data)
+    else:
+        texts = [(p.extract_text() or "").strip() for p in PdfReader(io.BytesIO(data)).pages]
+    return [(f"page {n}", t) for n, t in enumerate(texts, 1) if t]
 
 
 PARSERS = {"pdf": pdf_pages, "docx": word, "xlsx": sheet, "xlsm": sheet, "pptx": slides, "csv": csv_rows, "eml": mail}

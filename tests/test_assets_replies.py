@@ -55,3 +55,28 @@ def test_too_many_terms_are_refused(spark, monkeypatch):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_text_read_off_pages_goes_to_its_place(spark):
+    s = spark.createDataFrame([("f", 0, "cover", "c"), ("f", 1, "page 1", "one "), ("f", 2, "Page 3", "three"), ("f", 3, "page 5", replies.READ_OFF + "\nold"), ("g", 0, None, None)], "file_name string, seg_ord int, location string, text string")
+    r = spark.createDataFrame([("f", 1, "A"), ("f", 2, "B"), ("f", 5, "C"), ("f", 9, "D"), ("f", 7, "E"), ("g", 1, "F")], "file_name string, page int, text string")
+    got = [(x["file_name"], x["seg_ord"], x["location"], x["text"]) for x in replies.injected(s, r).orderBy("file_name", "seg_ord").collect()]
+    m = replies.READ_OFF + "\n"
+    assert got == [("f", 0, "cover", "c"), ("f", 1, "page 1", "one\n" + m + "A"), ("f", 2, "page 2", m + "B"), ("f", 3, "Page 3", "three"), ("f", 4, "page 5", m + "old"), ("f", 5, "page 7", m + "E"), ("f", 6, "page 9", m + "D"), ("g", 0, None, None), ("g", 1, "page 1", m + "F")]
+
+
+def test_seen_assets_and_allowed_pairs(spark):
+    reply = {"assets": [{"asset_tag": " Q1 ", "asset_type": "Circuit Breaker", "status": "FUTURE", "quantity": "x"}, {"asset_type": "Chair"}, {"asset_type": "Bus", "quantity": 3}]}
+    got = [(x["asset_tag"], x["asset_type"], x["status"], x["quantity"]) for x in replies.seen_assets(spark.createDataFrame([(1, json.dumps(reply)), (2, "none")], "chunk_id long, reply string")).collect()]
+    assert got == [("Q1", "Circuit Breaker", "Future", 1.0), ("", "Bus", "Unclear", 3.0)]
+    items = spark.createDataFrame([("S1", "M1"), ("S1", "M2"), (None, "M1")], "scenario_id string, metric_id string")
+    assert [tuple(r) for r in replies.allowed(items, items.where("metric_id = 'M1'")).collect()] == [("S1", "M1")]
+
+
+def test_items_are_located_in_the_segments_of_their_chunk(spark):
+    quote = "the breaker shall be monitored for gas pressure and temperature"
+    reply = json.dumps({"requirements": [{"metric_id": "M1", "value": "5", "confidence": 0.9, "evidence_quote": quote.upper()}, {"metric_id": "M1", "value": "6", "evidence_quote": "nowhere in the text at all, really not"}]})
+    chunks = spark.createDataFrame([(1, "f", 10, 1, "intro"), (1, "f", 11, 2, "So " + quote.replace(" ", "\n", 3) + ".")], "chunk_id long, file_name string, seg_id long, seg_ord int, text string")
+    cat = (spark.createDataFrame([("P1", "F1")], "product_id string, family_id string"), spark.createDataFrame([("F1",)], "family_id string"), spark.createDataFrame([("M1",)], "metric_id string"))
+    got = {(r["value"], r["seg_id"]) for r in replies.located(replies.ask(spark.createDataFrame([(1, "q")], "chunk_id long, prompt string"), lambda p: reply), "requirements", chunks, cat).collect()}
+    assert got == {("5", 11), ("6", None)}
