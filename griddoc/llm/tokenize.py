@@ -58,6 +58,8 @@ class Transducer:
             return True
         if (known := self.pairs.get((a, b))) is None:
             left, right = self.bytes[a], self.bytes[b]
+            if len(self.pairs) > KEPT:
+                self.pairs.clear()
             known = self.pairs[a, b] = self._merged(left + right) == [left, right]
         return known
 
@@ -90,12 +92,24 @@ class Transducer:
         self.moves[state][byte] = to, out
         return to, out
 
+    def _forget(self, state: int) -> int:
+        """Empty the stores but for one state; its new number."""
+        kept = self.states[state]
+        self._reset()
+        if kept[:2] == (None, b""):
+            return 0
+        self.number[kept[:2]] = 1
+        self.states.append(kept)
+        self.moves.append({})
+        self.ends.append(None)
+        return 1
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece of the split text."""
-        if len(self.states) > KEPT:
-            self._reset()
         state, ids, moves = 0, [], self.moves
         for byte in piece:
+            if len(self.states) > KEPT:
+                state, moves = self._forget(state), self.moves
             state, out = moves[state].get(byte) or self._add(state, byte)
             if out:
                 ids += out
