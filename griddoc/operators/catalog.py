@@ -6,15 +6,11 @@ many terms in many texts is one automaton pass, never a join of all with all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from griddoc.operators.match import VOCABULARY
+from griddoc.operators.match import contained
 from griddoc.operators.packed import is_nothing, unpack
 from griddoc.operators.tables import first_per_key
 from griddoc.session import checkpointed, small
@@ -72,38 +68,6 @@ def coalesced_lookup(rows: DataFrame, key: str, first: DataFrame, second: DataFr
     return rows.join(f, on(f), "left").join(s, on(s), "left").select(key, F.coalesce(blank("_f"), blank("_s")).alias(column))
 
 
-def contained(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, term_ord): which terms (term_ord, term) stand anywhere in each lower-case text, as plain strings in any case.
-
-    Null and empty texts and terms contain nothing; a key of several rows has their union.
-    """
-    rows = terms.select("term_ord", F.lower("term").alias("term")).where("term <> ''").limit(VOCABULARY + 1).collect()
-    if len(rows) > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} terms")
-    by_term: dict[str, list[int]] = {}
-    for r in rows:
-        by_term.setdefault(r["term"], []).append(r["term_ord"])
-    shared = texts.sparkSession.sparkContext.broadcast(by_term)
-    wanted = texts.where(F.col(text).isNotNull()).select(F.lower(F.col(text)).alias("_low"), F.col(key))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        machine = ahocorasick.Automaton()
-        for t in known:
-            machine.add_word(t, t)
-        if known:
-            machine.make_automaton()
-        for b in batches if known else ():
-            place, out = [], []
-            for k, s in enumerate(b.column(0).to_pylist()):
-                found = [o for t in {t for _, t in machine.iter(s)} for o in known[t]]
-                place += [k] * len(found)
-                out += found
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(place, pa.int64())), pa.array(out, pa.int64())], [key, "term_ord"])
-
-    return wanted.mapInArrow(run, f"{key} {dict(wanted.dtypes)[key]}, term_ord long").distinct()
-
-
 def first_containing(rows: DataFrame, within: list[str], order: str, text: Column, terms: DataFrame) -> DataFrame:
     """(within, term_ord, order): the first row of each group whose text contains a term."""
     hits = contained(rows.select(order, text.alias("_text")), order, "_text", terms)

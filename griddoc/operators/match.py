@@ -169,27 +169,70 @@ def collapse(hits: DataFrame) -> DataFrame:
     return placed.unionByName(free)
 
 
-def locate_quotes(quotes: DataFrame, segments: DataFrame, prefixes: tuple[int, ...] = (10_000, 160, 100, 60, 40)) -> DataFrame:
-    """(quote_id, seg_id, at, prefix_rank): where each quote (quote_id, file_name, quote) stands in its document.
+def contained(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, term_ord): which terms (term_ord, term) stand anywhere in each lower-case text, as plain strings in any case.
 
-    White space may differ. Longer beginnings of the quote are tried first; of equal ones the first segment wins. A segment that
-    holds the shortest beginning holds its second to fourth word as whole words, so segments are looked up by the hash of these
-    and only hits compared. Beginnings of fewer words are looked up by what inner words they have; those without are compared
-    with each segment of their document.
+    Null and empty texts and terms contain nothing; a key of several rows has their union.
     """
-    head = F.split(F.substring("q", 1, min(prefixes)), " ")
-    q = quotes.select("quote_id", "file_name", X.normal_key(F.col("quote")).alias("q")).where("q <> ''")
-    q = q.withColumn("w", F.when(F.size(head) > 2, F.slice(head, 2, F.least(F.lit(3), F.size(head) - 2))).otherwise(F.array().cast("array<string>")))
+    rows = terms.select("term_ord", F.lower("term").alias("term")).where("term <> ''").limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} terms")
+    by_term: dict[str, list[int]] = {}
+    for r in rows:
+        by_term.setdefault(r["term"], []).append(r["term_ord"])
+    shared = texts.sparkSession.sparkContext.broadcast(by_term)
+    wanted = texts.where(F.col(text).isNotNull()).select(F.lower(F.col(text)).alias("_low"), F.col(key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        machine = ahocorasick.Automaton()
+        for t in known:
+            machine.add_word(t, t)
+        if known:
+            machine.make_automaton()
+        for b in batches if known else ():
+            place, out = [], []
+            for k, s in enumerate(b.column(0).to_pylist()):
+                found = [o for t in {t for _, t in machine.iter(s)} for o in known[t]]
+                place += [k] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(place, pa.int64())), pa.array(out, pa.int64())], [key, "term_ord"])
+
+    return wanted.mapInArrow(run, f"{key} {dict(wanted.dtypes)[key]}, term_ord long").distinct()
+
+
+def _by_words(quotes: DataFrame, segments: DataFrame, prefix: int) -> DataFrame:
+    """(quote_id, q, seg_id) of quotes (quote_id, file_name, q) and segments (file_name, seg_id, t) that may hold their beginning.
+
+    A segment that holds it holds its second to fourth word as whole words, so segments are looked up by the hash of these.
+    Beginnings of fewer words are looked up by what inner words they have; those without by their document alone.
+    """
+    head, words = F.split(F.substring("q", 1, prefix), " "), F.split("t", " ")
+    q = quotes.withColumn("w", F.when(F.size(head) > 2, F.slice(head, 2, F.least(F.lit(3), F.size(head) - 2))).otherwise(F.array().cast("array<string>")))
     q = q.select("quote_id", "file_name", "q", F.size("w").alias("n"), F.xxhash64(F.array_join("w", " ")).alias("key"))
-    s = segments.where(~X.is_contents(F.col("text"))).select("file_name", "seg_id", "seg_ord", X.normal_key(F.col("text")).alias("t"))
-    words = F.split("t", " ")
     keyed = small(checkpointed(q.where("n > 0")))
     sizes = [r["n"] for r in keyed.select("n").distinct().collect()]
     span = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice(words, k, n), " ")))
-    hits = [s.select("file_name", "seg_id", F.lit(n).alias("n"), F.explode(F.array_distinct(span(n))).alias("key")).join(keyed, ["file_name", "n", "key"]).select("quote_id", "q", "seg_id") for n in sizes]
-    hits.append(s.select("file_name", "seg_id").join(small(checkpointed(q.where("n = 0"))), "file_name").select("quote_id", "q", "seg_id"))
-    pairs = small(checkpointed(reduce(DataFrame.unionByName, hits)))
-    both = s.join(pairs, "seg_id")
+    hits = [segments.select("file_name", "seg_id", F.lit(n).alias("n"), F.explode(F.array_distinct(span(n))).alias("key")).join(keyed, ["file_name", "n", "key"]) for n in sizes]
+    hits.append(segments.select("file_name", "seg_id").join(small(checkpointed(q.where("n = 0"))), "file_name"))
+    return reduce(DataFrame.unionByName, [h.select("quote_id", "q", "seg_id") for h in hits])
+
+
+def locate_quotes(quotes: DataFrame, segments: DataFrame, prefixes: tuple[int, ...] = (10_000, 160, 100, 60, 40)) -> DataFrame:
+    """(quote_id, seg_id, at, prefix_rank): where each quote (quote_id, file_name, quote) stands in its document.
+
+    White space may differ. Longer beginnings of the quote are tried first; of equal ones the first segment wins. The shortest
+    beginnings are looked for by one automaton, up to VOCABULARY of them, more by their words; only what is found is compared.
+    """
+    q = checkpointed(quotes.where("file_name is not null").select("quote_id", "file_name", X.normal_key(F.col("quote")).alias("q")).where("q <> ''"))
+    s = segments.where(~X.is_contents(F.col("text"))).select("file_name", "seg_id", "seg_ord", X.normal_key(F.col("text")).alias("t"))
+    if q.limit(VOCABULARY + 1).count() <= VOCABULARY:
+        keyed = q.withColumn("term", F.substring("q", 1, min(prefixes))).withColumn("term_ord", F.xxhash64("term"))
+        held = contained(s, "seg_id", "t", keyed.select("term_ord", "term").distinct()).join(F.broadcast(keyed), "term_ord")
+        pairs = held.select("quote_id", "q", "seg_id", F.col("file_name").alias("of"))
+    else:
+        pairs = _by_words(q, s, min(prefixes)).withColumn("of", F.lit(None).cast("string"))
+    both = s.join(small(checkpointed(pairs)), "seg_id").where("of is null or of = file_name")
     rank = F
     for k, n in enumerate(prefixes):
         rank = rank.when(F.contains("t", F.substring("q", 1, n)), F.lit(k))

@@ -98,7 +98,9 @@ def test_occurrences_equal_the_column_function(spark):
 
 
 @pytest.mark.parametrize("quote, at", [("Second  words here\nare more than forty characters of this text", 11), ("ond words", 14), ("here", 24), ("absent words of the quote that nobody wrote", None), ("d words here are mo", 16)])
-def test_quotes_of_any_length(spark, quote, at):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_quotes_of_any_length(spark, monkeypatch, most, quote, at):
+    monkeypatch.setattr(match, "VOCABULARY", most)
     s = spark.createDataFrame([("f", 1, 1, "nothing"), ("f", 2, 2, "first part second words here are more than forty characters of this text"), ("g", 3, 1, "second words here")], "file_name string, seg_id long, seg_ord int, text string")
     q = spark.createDataFrame([(1, "f", quote), (2, None, quote), (3, "f", "")], "quote_id long, file_name string, quote string")
     got = [tuple(r) for r in match.locate_quotes(q, s).select("quote_id", "seg_id", "at").collect()]
