@@ -31,6 +31,8 @@ from griddoc.session import checkpointed, small
 
 #: Texts that must share a length before it is a candidate limit, and how many times as many as expected.
 MIN_AT_LIMIT, TIMES = 3, 2
+#: Texts of any one length that are expected at least, since real lengths have longer tails than the fitted ones.
+BY_ITSELF = 0.5
 #: Lengths compared with a candidate lie from FAR to NEAR away on both sides; a cut by bytes may leave up to three bytes unused.
 NEAR, FAR = 4, 16
 #: Log-odds of a cut in transfer where no limit explains the length, and of marks of omission there, which authors also use.
@@ -169,7 +171,7 @@ def cut_shares(n: float, s1: float, s2: float, found: list[tuple[int, float, flo
     total, out = n + sum(at for _, at, _ in found), []
     for limit, at, near in found:
         z = (math.log(limit) - mean) / sd
-        expected = max(total * math.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi) * limit), near, 1e-9)
+        expected = max(total * math.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi) * limit), near, BY_ITSELF)
         chance = math.exp(min(_log_tail(at, expected) + math.log(sizes), 50.0))
         out.append(max(0.0, 1 - expected / at) / (1 + chance))
     return out
