@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
-from griddoc.operators.running import previous, running_sum
+from griddoc.operators.running import joined, previous, ranges, running_sum
+from griddoc.session import checkpointed
 
 
 def running_boilerplate(pages: DataFrame, min_pages: int = 5, longest: int = 100) -> DataFrame:
@@ -37,28 +39,82 @@ def islands(anchors: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
     return grouped.groupBy("file_name", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("g")
 
 
+def _breaks(size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What a range of segments does to a chunk that is open before it: (fill, chunks, used, total).
+
+    The open chunk is closed before the first segment i for which it holds more than fill[i]; the range then begins chunks[i]
+    chunks and leaves used[i] in the last one. If it is never closed, it grows by total. fill only falls, so the segments after
+    the one that no open chunk takes are left out.
+    """
+    n = len(size)
+    before = np.concatenate(([0], np.cumsum(size + 1)))
+    reach = before[:-1] + size
+    following = np.maximum(np.searchsorted(reach, limit + before[:-1], side="right"), np.arange(1, n + 1))
+    chunks, used = np.ones(n, np.int64), before[-1] - before[:-1]
+    for i in range(n - 1, -1, -1):
+        if following[i] < n:
+            chunks[i] += chunks[following[i]]
+            used[i] = used[following[i]]
+    last = min(max(int(np.searchsorted(reach, limit, side="right")), 1), n - 1) + 1
+    return limit - reach[:last], chunks[:last], used[:last], int(before[-1])
+
+
 def pack(segments: DataFrame, limit: int = 40_000) -> DataFrame:
     """(file_name, seg_id, chunk): segments packed in order into chunks of at most limit characters, never split.
 
-    segments: file_name, seg_id, seg_ord, size. Order-dependent, so each document is folded in one pass over its sorted rows;
-    rows are sorted by Spark within partitions and only the running sum is kept, however long the document.
+    segments: file_name, seg_id, seg_ord, size. A document is cut into ranges; each range is summed up as what it does to a chunk
+    that is open before it, the summaries of documents that lie in several ranges (fewer than there are ranges) are composed, and each range
+    is numbered from the chunk it begins in.
     """
+    order = ["file_name", "seg_ord", "seg_id"]
+    cut = ranges(segments.where("size > 0").select(*order, F.col("size").cast("long").alias("size")), order[:1], order[1:])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, chunk, used = object(), 0, 0
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, at, sizes = [], [], []
+        for b in batches:
+            for f, r, size in zip(b["file_name"], b["_range"], b["size"]):
+                if not names or names[-1] != f:
+                    names.append(f)
+                    at.append(r)
+                    sizes.append([])
+                sizes[-1].append(size)
+        # A document that neither begins nor ends the range lies within it.
+        for k in {0, len(names) - 1} if names else ():
+            fill, chunks, used, total = _breaks(np.array(sizes[k], np.int64), limit)
+            yield pd.DataFrame({"file_name": [names[k]], "_range": [at[k]], "fill": [fill], "chunks": [chunks], "used": [used], "total": [total]})
+
+    def begun(rows: pd.DataFrame) -> pd.DataFrame:
+        chunk, held, out = 0, 0, []
+        rows = rows.sort_values("_range")
+        for fill, chunks, used, total in zip(rows["fill"], rows["chunks"], rows["used"], rows["total"]):
+            out.append((chunk, held))
+            at = int(np.searchsorted(-np.asarray(fill), -held, side="right"))
+            at = at if held else max(at, 1)
+            if at < len(fill):
+                chunk, held = chunk + int(chunks[at]), int(used[at])
+            else:
+                held += int(total)
+        return pd.DataFrame({"file_name": rows["file_name"], "_range": rows["_range"], "_chunk": [c for c, _ in out], "_held": [h for _, h in out]})
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, chunk, held = object(), 0, 0
         for b in batches:
             out = []
-            for f, size in zip(b["file_name"], b["size"]):
+            for f, size, c, h in zip(b["file_name"], b["size"], b["_chunk"], b["_held"]):
                 if f != name:
-                    name, chunk, used = f, 0, 0
-                if used and used + size > limit:
-                    chunk, used = chunk + 1, 0
-                used += size + 1
+                    name, chunk, held = f, c, h
+                if held and held + size > limit:
+                    chunk, held = chunk + 1, 0
+                held += size + 1
                 out.append(chunk)
             yield pd.DataFrame({"file_name": b["file_name"], "seg_id": b["seg_id"], "chunk": out})
 
-    ordered = segments.where("size > 0").repartition("file_name").sortWithinPartitions("file_name", "seg_ord", "seg_id").select("file_name", "seg_id", "size")
-    return ordered.mapInPandas(run, "file_name string, seg_id long, chunk int")
+    does = checkpointed(cut.sortWithinPartitions(*order).mapInPandas(summed, "file_name string, _range int, fill array<long>, chunks array<long>, used array<long>, total long"))
+    several = does.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_name")
+    split = does.alias("d").join(several.alias("s"), F.col("d.file_name").eqNullSafe(F.col("s.file_name")), "left_semi")
+    starts = split.groupBy("file_name").applyInPandas(begun, "file_name string, _range int, _chunk int, _held long")
+    placed = joined(cut, starts, ["file_name"]).fillna(0, ["_chunk", "_held"])
+    return placed.sortWithinPartitions(*order).mapInPandas(numbered, "file_name string, seg_id long, chunk int")
 
 
 def line_offsets(segments: DataFrame) -> DataFrame:

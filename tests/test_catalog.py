@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from griddoc.functions import text as X
-from griddoc.operators import anchors, assets, catalog, match, tables
+from griddoc.operators import anchors, assets, catalog, match, regions, tables
 from griddoc.operators.running import previous, running_sum
 from griddoc.sources import sheets
 
@@ -23,6 +23,24 @@ def test_running_values_equal_a_window(spark):
     assert len(got) == 400 and running_sum(df.limit(0), ["g"], ["o"], "v", "t").count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 7, 30, 100, 10_000])
+def test_packing_over_ranges_equals_one_pass(spark, limit):
+    rng = random.Random(limit)
+    rows = [(rng.choice(["a"] * 9 + ["b", None]), n, n // 3, rng.choice([0, 1, 2, 5, 9, 40])) for n in range(600)]
+    want, state = {}, {}
+    for f, i, _, size in sorted(rows, key=lambda r: (r[2], r[1])):
+        chunk, used = state.get(f, (0, 0))
+        if not size:
+            continue
+        if used and used + size > limit:
+            chunk, used = chunk + 1, 0
+        state[f] = chunk, used + size + 1
+        want[i] = chunk
+    df = spark.createDataFrame(rows, "file_name string, seg_id long, seg_ord int, size int")
+    assert {r["seg_id"]: r["chunk"] for r in regions.pack(df, limit).collect()} == want
+    assert regions.pack(df.limit(0), limit).count() == 0
+
+
 def test_anchors(spark):
     texts = ["Two relay cubicles stand here.", "No anchor.", "INFORMA is a name.", "information", "pumps", "pumpset", None, "", "pump is out of scope.", "[VLM OCR of embedded image] x", "out of scope " + "x" * 400 + " pump"]
     df = spark.createDataFrame(list(enumerate(texts)), "seg_id long, text string")
